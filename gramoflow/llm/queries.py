@@ -5,13 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramoflow.llm import names
+from gramoflow.llm import canonical, names
+from gramoflow.operators import segment
+from gramoflow.operators.scale import stage
+from gramoflow.plans.problems import known_names
 from gramoflow.session import table
 
 #: Artist ids that stand for no artist.
 PLACEHOLDER_ARTISTS = (194, 355, 118760)
 
 
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    rows = table(spark, d, "collection_rows")
+    fields = ("media_condition", "sleeve_condition", "format_raw")
+    long = rows.select(F.col("row_id").cast("bigint").alias("row_id"), F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])).alias("x")).select("row_id", "x.field", "x.text")
+    long = long.filter("trim(text) <> ''")
+    texts = stage(long.select("field", "text").distinct(), "texts")
+    packed = segment.segment_fields(texts.filter("field = 'format_raw'").select("field", F.col("text").alias("kept"), "text"), known_names(spark, d))
+
+    @F.pandas_udf("string")
+    def first_value(vals):
+        return vals.map(lambda v: segment.without_quantity(v[0]) if len(v) else "")
+
+    values = texts.filter("field <> 'format_raw'").select("field", "text", F.col("text").alias("value"))
+    values = values.unionByName(packed.select("field", F.col("kept").alias("text"), first_value("vals").alias("value")))
+    return canonical.map_rows(long, stage(values, "values"), table(spark, d, "canon_values"))
+
+
 def p7_found(spark: SparkSession, d: str) -> DataFrame:
     credits, rows = table(spark, d, "credits"), table(spark, d, "collection_rows")
     texts = names.spellings([(credits, "name", "discogs_artist_id"), (credits, "anv", None), (rows, "artist", None)])
@@ -20,7 +40,7 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p7_found,)}
+    return {f.__name__: f for f in (p4_found, p7_found)}
 
 
 def oracle_sql() -> dict[str, str]:
