@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramoflow.llm import canonical, names
+from gramoflow.llm import canonical, leaks, names, truncation
 from gramoflow.operators import segment
 from gramoflow.operators.scale import stage
 from gramoflow.plans.problems import known_names
@@ -39,8 +39,24 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(names.links(texts, said))
 
 
+def p9_found(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p9_spans(spark: SparkSession, d: str) -> DataFrame:
+    return leaks.leaked_spans(table(spark, d, "documents"), table(spark, d, "eval_items"))
+
+
+def p10_found(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncated(table(spark, d, "documents")).filter("cut").select("doc_id")
+
+
+def p10_rates(spark: SparkSession, d: str) -> DataFrame:
+    return truncation.truncation_rates(table(spark, d, "documents"))
+
+
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p7_found)}
+    return {f.__name__: f for f in (p4_found, p7_found, p9_found, p9_spans, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
