@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gramoflow.llm import canonical, leaks, names, truncation
+from gramoflow.llm import canonical, leaks, names, packing, truncation
 from gramoflow.operators import segment
 from gramoflow.operators.scale import stage
 from gramoflow.plans.problems import known_names
@@ -39,6 +39,14 @@ def p7_found(spark: SparkSession, d: str) -> DataFrame:
     return names.pairs(names.links(texts, said))
 
 
+def p8_containers(spark: SparkSession, d: str) -> DataFrame:
+    return packing.containers(packing.token_counts(table(spark, d, "documents")), table(spark, d, "pack_specs"))
+
+
+def p8_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_rates(p8_containers(spark, d), table(spark, d, "pack_specs"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -56,7 +64,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p7_found, p9_found, p9_spans, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p4_found, p7_found, p8_containers, p8_fill, p9_found, p9_spans, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -39,7 +39,7 @@ from gramoflow.operators.scale import sized_join, spread, stage
 ORDERS = 8
 FINAL_LETTERS = 16
 MIN_COUNT = 100
-KAPPA = 10.0
+KAPPA = 20.0
 #: A word is frequent if it is in this share of the documents.
 FREQUENT_SHARE = 1 / 500
 LEAST_FREQUENT = 5
