@@ -33,7 +33,7 @@ NODES, FILLINGS, STEPS = 3_000, 4, 400
 #: Containers filled less are packed again, at most so often.
 GOOD_FILL, ROUNDS = 0.985, 3
 #: Capacities kept on the driver.
-MOST_SPECS = 10_000
+MOST_SPECS = 1_000
 
 
 def token_counts(documents: DataFrame, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -229,7 +229,9 @@ def containers(counts: DataFrame, specs: DataFrame, chunk_items: int = CHUNK_ITE
     specs = specs.filter("spec_id IS NOT NULL AND capacity_tokens >= 1").select(F.col("spec_id").cast("int").alias("spec_id"), F.col("capacity_tokens").cast("int").alias("capacity")).distinct()
     if not within(specs, MOST_SPECS):
         raise ValueError(f"more than {MOST_SPECS} capacities")
-    every = counts.crossJoin(F.broadcast(specs))  # a few capacities for each text
+    few = [F.struct(F.lit(r.spec_id).alias("spec_id"), F.lit(r.capacity).alias("capacity")) for r in specs.orderBy("spec_id", "capacity").collect()]  # at most MOST_SPECS
+    each = F.explode(F.array(*few)) if few else F.explode(F.lit(None).cast("array<struct<spec_id:int,capacity:int>>"))
+    every = counts.select("doc_id", "n_tokens", each.alias("s")).select("doc_id", "n_tokens", "s.spec_id", "s.capacity")
     pieces = every.select(
         "spec_id", "capacity", "doc_id",
         F.explode(F.transform(F.sequence(F.lit(0), ((F.col("n_tokens") - 1) / F.col("capacity")).cast("int")), lambda i: F.struct(i.alias("piece"), (i * F.col("capacity")).cast("bigint").alias("first_token"), F.least(F.col("capacity").cast("bigint"), F.col("n_tokens") - i * F.col("capacity")).alias("n")))).alias("p"),

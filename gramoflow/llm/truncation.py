@@ -42,6 +42,8 @@ MIN_COUNT = 100
 KAPPA = 20.0
 #: A word is frequent if it is in this share of the documents.
 FREQUENT_SHARE = 1 / 500
+#: Dots are part of an ending that the corpus has so often and in this share of the places where its last two letters stand.
+LEAST_KNOWN, KNOWN_SHARE = 3, 0.2
 LEAST_FREQUENT = 5
 #: Bits of the bitmap (a power of two, 2 MB).
 BITMAP_BITS = 1 << 24
@@ -117,8 +119,9 @@ def _ends(tokens: list[str], letters: Letters) -> tuple[list[int], int]:
     return out, int(h.view(np.int64)[0])
 
 
-def final_contexts(text: str, letters: Letters) -> tuple[list[int], list[int], int] | None:
-    """Contexts of the text as it is, of the text without a cut's leavings (empty if the same), and the key of its ending."""
+def final_contexts(text: str, letters: Letters) -> tuple[list[int], list[int], int, int] | None:
+    """Contexts of the text as it is, of the text without a cut's leavings (empty if the same), the key of its ending, and
+    the number of letters in the leavings if they are dots only, else 0."""
     whole = text.rstrip()
     tokens = _TOKEN.findall(whole[-4000:])
     if not tokens:
@@ -126,7 +129,8 @@ def final_contexts(text: str, letters: Letters) -> tuple[list[int], list[int], i
     bare = _REST.sub("", whole[-4000:])
     full, key = _ends(tokens, letters)
     rest = _TOKEN.findall(bare) if bare != whole[-4000:] else []
-    return full, (_ends(rest, letters)[0] if rest else []), key
+    left = tokens[len(rest) :] if rest else []
+    return full, (_ends(rest, letters)[0] if rest else []), key, len(left) if set(left) <= {".", "…"} else 0
 
 
 def interior(texts: list[str], letters: Letters) -> tuple[np.ndarray, np.ndarray]:
@@ -193,7 +197,8 @@ def frequent_words(documents: DataFrame) -> list[str]:
             if len(counts) > 300_000:
                 yield pd.DataFrame({"w": list(counts.keys()), "n": list(counts.values())})
                 counts = Counter()
-        yield pd.DataFrame({"w": list(counts.keys()), "n": list(counts.values())})
+        if counts:
+            yield pd.DataFrame({"w": list(counts.keys()), "n": list(counts.values())})
 
     total = documents.count()
     floor = max(LEAST_FREQUENT, math.ceil(total * FREQUENT_SHARE))
@@ -211,13 +216,11 @@ def scores(documents: DataFrame) -> DataFrame:
         letters = Letters(frequent.value)
         for pdf in batches:
             got = [final_contexts(t, letters) for t in pdf["text"]]
-            keep = [g is not None for g in got]
-            out = pdf.loc[keep, ["doc_id", "lang", "source"]].copy()
-            kept = [g for g in got if g is not None]
-            out["full"], out["bare"], out["ending"] = [g[0] for g in kept], [g[1] for g in kept], [g[2] for g in kept]
-            yield out
+            rows = [(d, x, s, *g) for d, x, s, g in zip(pdf["doc_id"].tolist(), pdf["lang"].tolist(), pdf["source"].tolist(), got, strict=True) if g is not None]
+            names = ("doc_id", "lang", "source", "full", "bare", "ending", "dots")
+            yield pd.DataFrame({n: pd.Series([None if isinstance(v := r[i], float) else v for r in rows], dtype=object) for i, n in enumerate(names)})
 
-    ends = stage(docs.mapInPandas(finals, "doc_id bigint, lang string, source string, full array<bigint>, bare array<bigint>, ending bigint"), "ends")
+    ends = stage(docs.mapInPandas(finals, "doc_id bigint, lang string, source string, full array<bigint>, bare array<bigint>, ending bigint, dots int"), "ends")
     ended = ends.groupBy("ending").agg(F.first("full").alias("full")).select(F.explode("full").alias("h")).filter("h <> 0").groupBy("h").agg(F.count("*").alias("e"))
     needed = ends.select(F.explode(F.array_distinct(F.concat("full", "bare"))).alias("h")).filter("h <> 0").distinct()
     slot = F.pmod("h", F.lit(BITMAP_BITS)) + 1
@@ -261,24 +264,30 @@ def scores(documents: DataFrame) -> DataFrame:
     continued = docs.select("text").mapInPandas(goes_on, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
     counts = needed.join(ended, "h", "left").join(continued, "h", "left").select("h", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("c", F.lit(0)).alias("c"))
     counts = stage(counts, "counts")
-    slots = ends.select("doc_id", "lang", "source", F.posexplode(F.concat("full", "bare")).alias("i", "h")).filter("h <> 0")
+    slots = ends.select("doc_id", "lang", "source", "dots", F.posexplode(F.concat("full", "bare")).alias("i", "h")).filter("h <> 0")
     joined = sized_join(slots, counts, ["h"])
-    by_doc = joined.groupBy("doc_id").agg(F.first("lang").alias("lang"), F.first("source").alias("source"), F.collect_set(F.struct("i", "e", "c")).alias("x"))
+    by_doc = joined.groupBy("doc_id").agg(F.first("lang").alias("lang"), F.first("source").alias("source"), F.max("dots").alias("dots"), F.collect_set(F.struct("i", "e", "c")).alias("x"))
 
     @F.pandas_udf("double")
-    def score(xs: pd.Series) -> pd.Series:
-        return pd.Series([log_odds({r["i"]: (r["e"], r["c"]) for r in x}) for x in xs], dtype=float)
+    def score(xs: pd.Series, dots: pd.Series) -> pd.Series:
+        return pd.Series([log_odds({r["i"]: (r["e"], r["c"]) for r in x}, n) for x, n in zip(xs, dots, strict=True)], dtype=float)
 
-    return by_doc.select("doc_id", "lang", "source", score("x").alias("score"))
+    return by_doc.select("doc_id", "lang", "source", score("x", "dots").alias("score"))
 
 
-def log_odds(counts: dict[int, tuple[int, int]]) -> float:
-    """From (ends, continuations) by place: 0.. the text's contexts by chain and order, 2 * ORDERS.. those without leavings."""
+def log_odds(counts: dict[int, tuple[int, int]], dots: int = 0) -> float:
+    """From (ends, continuations) by place: 0.. the text's contexts by chain and order, 2 * ORDERS.. those without leavings.
+
+    dots: letters of the leavings, if they are dots. They belong to the text where the two letters before them usually
+    have such dots behind them."""
     offset, own = 0, 1
     if any(i >= 2 * ORDERS for i in counts):
-        e, c = counts.get(4, (0, 0))  # five letters
-        if max(0, e - 1) / (max(0, e - 1) + c + 2) < 0.4:
-            offset, own = 2 * ORDERS, 0
+        offset, own = 2 * ORDERS, 0
+        if 0 < dots <= ORDERS - 2:
+            with_dots = max(0, counts.get(dots + 1, (0, 0))[0] - 1)
+            ends, goes_on = counts.get(2 * ORDERS + 1, (0, 0))
+            if with_dots >= LEAST_KNOWN and with_dots >= KNOWN_SHARE * (ends + goes_on):
+                offset, own = 0, 1
     best: tuple[int, int, float] | None = None
     for alt in (0, 1):
         base = counts.get(offset + alt * ORDERS)
