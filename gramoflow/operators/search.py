@@ -112,11 +112,11 @@ def ranked(posted: DataFrame, doc_lengths: DataFrame, key: str, query: list[Word
     for f, w in (weights or WEIGHTS).items():
         weight = F.when(F.col("field") == f, F.lit(w)).otherwise(weight)
     by_word = hits(posted, key, query).withColumn("w", weight).groupBy(key, "word").agg(F.sum(F.col("n") * F.col("w")).alias("tf"))
-    totals = doc_lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("avg"))
+    totals = doc_lengths.agg(F.count("*").alias("docs"), F.avg("length").alias("avg")).first()
     idf_rows = by_word.groupBy("word").agg(F.count("*").alias("df"))  # one row a word of the query
-    scored = by_word.join(doc_lengths, key).crossJoin(F.broadcast(totals)).join(F.broadcast(idf_rows), "word")
-    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("avg")))
+    scored = by_word.join(doc_lengths, key).join(F.broadcast(idf_rows), "word")
+    idf = F.greatest(F.lit(LEAST_IDF), F.log((F.lit(totals.docs) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.lit(totals.avg or 1.0)))
     found = scored.groupBy(key).agg(F.count("*").alias("w"), (-F.sum(part)).alias("score")).filter(F.col("w") == len(query)).select(key, "score")
     return found.orderBy("score", key).limit(limit) if limit else found
 
