@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramoflow.functions import parsing, text
@@ -82,8 +82,6 @@ def tracks(releases: DataFrame) -> DataFrame:
     tail = F.transform(subs, lambda x, i: F.struct((i + 1).alias("s"), x["position"].alias("position"), x["title"].alias("title"), x["duration"].alias("duration")))
     rows = top.select("ext_id", "p", (F.size(subs) > 0).alias("has_sub"), F.explode(F.concat(F.array(head), tail)).alias("x"))
     kept = rows.filter("coalesce(trim(x.title), '') <> '' OR coalesce(trim(x.position), '') <> ''")
-    from pyspark.sql import Window
-
     w = Window.partitionBy("ext_id").orderBy("p", "x.s")
     numbered = kept.withColumn("sequence", F.row_number().over(w))
     parent = F.max(F.when(F.col("x.s") == 0, F.col("sequence"))).over(Window.partitionBy("ext_id", "p"))

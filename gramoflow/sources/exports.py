@@ -6,7 +6,7 @@ import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramoflow.functions import parsing, text
@@ -83,10 +83,15 @@ _TRACK_SCHEMA = (
 )
 
 
+def _file(c: Column) -> Column:
+    """A path as the readers agree on it: they differ in the slashes behind the scheme."""
+    return F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")
+
+
 def dj_tracks(spark: SparkSession, path: str) -> DataFrame:
     """Tracks of DJ-library files: typed fields, beat grid and cues, fingerprints, errors."""
     refuse_unsafe(spark, path)
-    raw = spark.read.format("xml").option("rowTag", "TRACK").schema(_TRACK_SCHEMA).load(path).filter("_TrackID IS NOT NULL").withColumn("source_file", F.input_file_name())
+    raw = spark.read.format("xml").option("rowTag", "TRACK").schema(_TRACK_SCHEMA).load(path).filter("_TrackID IS NOT NULL").withColumn("source_file", _file(F.input_file_name()))
     b = lambda c: text.blank_to_null(F.col(c))
     location = parsing.location_path(b("_Location"))
     title = F.coalesce(b("_Name"), F.nullif(F.regexp_extract(F.coalesce(location, F.lit("")), r"([^/]+?)(?:\.[A-Za-z0-9]{2,5})?$", 1), F.lit("")))
@@ -97,8 +102,6 @@ def dj_tracks(spark: SparkSession, path: str) -> DataFrame:
         parsing.file_format(F.col("_Kind"), location).alias("file_format"), location.alias("location"), *[parsing.whole_number(F.col(f"_{c}")).alias(n) for c, n in (("Size", "size"), ("BitRate", "bit_rate"), ("SampleRate", "sample_rate"), ("PlayCount", "play_count"))],
         seconds.alias("seconds"), parsing.date_added(F.col("_DateAdded")).alias("date_added"), F.coalesce("TEMPO", F.array()).alias("tempos"), F.coalesce("POSITION_MARK", F.array()).alias("cues"),
     )
-    from pyspark.sql import Window
-
     again = F.row_number().over(Window.partitionBy("source_file", "external_id").orderBy("title", "artist", "location")) > 1
     out = out.withColumn("errors", F.array_compact(F.array(F.when(again, "track id given twice"), F.when(F.col("title").isNull(), "no title"))))
     return out.withColumn("hints", hints(F.col("location"), F.col("size"), F.col("artist"), F.col("title"), F.col("mix"), F.col("seconds"))).withColumn("content_hash", text.content_hash("title", "artist", "mix", "album", "label", "genre", "year", "bpm_x100", "rating", "comments", "location"))
@@ -124,7 +127,7 @@ def playlists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
                     todo += [(c, f"{at}.{i + 1}", at, i + 1) for i, c in enumerate(node.findall("NODE"))]
                 yield pd.DataFrame(rows, columns=["source_file", "node", "parent", "pos", "name", "kind", "key_type", "keys"])
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select(_file(F.col("path")).alias("path"), "content")
     nodes = files.mapInPandas(run, "source_file string, node string, parent string, pos int, name string, kind string, key_type string, keys array<string>")
     entries = nodes.select("source_file", "node", "key_type", F.posexplode("keys").alias("p", "key")).withColumn("pos", F.col("p") + 1).drop("p")
     return nodes.drop("keys"), entries
@@ -132,8 +135,6 @@ def playlists(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 
 def resolved_entries(entries: DataFrame, tracks: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Entries whose track is known, renumbered within their playlist, and the unresolved ones (QRY-26)."""
-    from pyspark.sql import Window
-
     by = tracks.select("source_file", F.col("external_id").alias("_id"), F.col("location").alias("_loc"))
     keyed = by.select("source_file", F.lit("id").alias("key_type"), F.col("_id").alias("key"), F.col("_id").alias("track")).unionByName(by.filter("_loc IS NOT NULL").select("source_file", F.lit("location").alias("key_type"), F.col("_loc").alias("key"), F.col("_id").alias("track")))
     look = entries.withColumn("key", F.when(F.col("key_type") == "location", parsing.location_path(F.col("key"))).otherwise(F.col("key")))
