@@ -37,7 +37,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back."""
-    path = f"{shared_dir(df.sparkSession)}/staged-{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
@@ -45,6 +45,16 @@ def stage(df: DataFrame, name: str, partition_by: list[str] | None = None) -> Da
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _own_dir(spark: SparkSession) -> str:
+    return f"{shared_dir(spark)}/staged-{spark.sparkContext.applicationId}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Deletes what this application has staged; call it once no result is needed any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def within(df: DataFrame, rows: int) -> bool:
     """True if df has at most so many rows; reads no more than rows + 1 of them to the counting stage."""
     return df.limit(rows + 1).count() <= rows
@@ -65,8 +75,10 @@ def sized_join(
     """
     if within(counted if counted is not None else small, rows):
         return big.join(F.broadcast(small), keys, how)
+    # The salt comes from the row itself, so that a task run again after a loss sends its rows the same way.
     slots = F.explode(F.array(*[F.lit(i) for i in range(salt)]))
-    spread = big.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(salt)).cast("int"))
+    plain = [F.col(f"`{f.name}`") for f in big.schema.fields if "map<" not in f.dataType.simpleString()]
+    spread = big.withColumn("_salt", F.pmod(F.xxhash64(*plain), F.lit(salt)).cast("int"))
     return spread.join(small.withColumn("_salt", slots), [*keys, "_salt"], how).drop("_salt")
 
 

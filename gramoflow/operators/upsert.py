@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramoflow.operators.relational import last_wins
+from gramoflow.operators.scale import stage
 
 
 def classify(current: DataFrame, incoming: DataFrame, key: str, hash_column: str, edited: Column | None = None) -> DataFrame:
@@ -19,11 +20,11 @@ def classify(current: DataFrame, incoming: DataFrame, key: str, hash_column: str
 def with_surrogates(current: DataFrame, classified: DataFrame, key: str, surrogate: str, order: str) -> DataFrame:
     """Known rows keep their id, new ones get the next ones in order (MUT-03).
 
-    Numbers are given per partition of a range sort: counts first, then offsets, so no task sees all rows."""
+    Numbers are given per partition of a range sort, staged once: counts first, then offsets, so no task sees all rows."""
     ids = current.select(key, F.col(surrogate).alias("_id"))
     start = current.agg(F.coalesce(F.max(surrogate), F.lit(0)).alias("m")).first().m
     joined = classified.drop(surrogate).join(ids, key, "left")
-    fresh = joined.filter("_id IS NULL").drop("_id").sort(order).withColumn("_p", F.spark_partition_id())
+    fresh = stage(joined.filter("_id IS NULL").drop("_id").sort(order).withColumn("_p", F.spark_partition_id()), "numbered")
     fresh = fresh.withColumn("_n", F.row_number().over(Window.partitionBy("_p").orderBy(order)))
     sizes = fresh.groupBy("_p").agg(F.count("*").alias("c"))
     offsets = sizes.select("_p", (F.sum("c").over(Window.orderBy("_p")) - F.col("c")).alias("_off"))  # one row a partition
