@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from gramoflow.functions import ordering, parsing, text
-from gramoflow.operators import duplicates, quality, reconcile, relational, search, upsert
+from gramoflow.operators import duplicates, entities, quality, reconcile, relational, search, upsert
 from gramoflow.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -451,3 +451,51 @@ SELECT row_id, CASE WHEN regexp_matches(c, '^mint\\b|\\(m\\)$') THEN 'M' WHEN re
 def q_grades_and_groups(spark: SparkSession, d: str) -> DataFrame:  # SCL-05, SCL-06, SCL-07, SRT-05
     c = table(spark, d, "collection_rows").select("row_id", "format_raw", "media_condition").distinct()
     return c.select("row_id", parsing.grade(F.col("media_condition")).alias("grade"), parsing.typed_format_group(F.col("format_raw")).alias("format_group"))
+
+
+@query("""WITH c AS (SELECT DISTINCT owner_id, pos, name, role FROM credits WHERE owner_type = 'master'), m AS (SELECT DISTINCT discogs_id, title FROM master_records),
+g AS (SELECT owner_id, list(coalesce(name, '') || ':' || coalesce(role, '') ORDER BY pos NULLS FIRST, name NULLS FIRST, role NULLS FIRST) AS x FROM c GROUP BY owner_id)
+SELECT discogs_id, title, coalesce(array_to_string(x, '|'), '') AS credits FROM m LEFT JOIN g ON g.owner_id = m.discogs_id""")
+def q_nested_record(spark: SparkSession, d: str) -> DataFrame:  # QRY-03, QRY-10
+    c = table(spark, d, "credits").filter("owner_type = 'master'").select(F.col("owner_id").alias("discogs_id"), "pos", "name", "role").distinct()
+    m = entities.with_children(table(spark, d, "master_records").select("discogs_id", "title").distinct(), "discogs_id", credits=(c, ["pos", "name", "role"]))
+    shown = F.transform("credits", lambda x: F.concat(F.coalesce(x["name"], F.lit("")), F.lit(":"), F.coalesce(x["role"], F.lit(""))))
+    return m.select("discogs_id", "title", F.array_join(shown, "|").alias("credits"))
+
+
+@query("""WITH l AS (SELECT discogs_id, name, nullif(parent_discogs_id, 0) AS p FROM (SELECT *, row_number() OVER (PARTITION BY discogs_id ORDER BY dump_date DESC, load_id DESC) AS rn FROM label_records) WHERE rn = 1 AND NOT deleted)
+SELECT l.discogs_id, l.name, u.name AS parent_name, coalesce(array_to_string(k.x, '|'), '') AS children
+FROM l LEFT JOIN l u ON u.discogs_id = l.p LEFT JOIN (SELECT p, list(name ORDER BY name, discogs_id) AS x FROM l WHERE p IS NOT NULL GROUP BY p) k ON k.p = l.discogs_id""")
+def q_label_tree(spark: SparkSession, d: str) -> DataFrame:  # QRY-08, JOI-07
+    rows = relational.last_wins(table(spark, d, "label_records").drop("loaded_at"), ["discogs_id"], ["dump_date", "load_id"]).filter("NOT deleted")
+    tree = entities.hierarchy(rows.withColumn("p", F.nullif("parent_discogs_id", F.lit(0))), "discogs_id", "p", "name")
+    return tree.withColumn("children", F.array_join("children", "|"))
+
+
+@query("SELECT DISTINCT discogs_artist_id, owner_id, coalesce(nullif(trim(role), ''), 'Main artist') AS role FROM credits WHERE owner_type = 'release' AND discogs_artist_id % 100 = 0")
+def q_artist_releases(spark: SparkSession, d: str) -> DataFrame:  # QRY-07: asked for the artists whose id is divisible by 100
+    c = table(spark, d, "credits").filter("owner_type = 'release' AND discogs_artist_id % 100 = 0")
+    return entities.contributions(c, "discogs_artist_id", "owner_id", "role")
+
+
+@query(f"""WITH {_LIVE}, p AS (SELECT owner_id, string_agg(n, ' ' ORDER BY n) AS people FROM (SELECT DISTINCT owner_id, coalesce(nullif(anv, ''), name) AS n FROM credits WHERE owner_type = 'release') WHERE n IS NOT NULL GROUP BY owner_id),
+k AS (SELECT discogs_id, string_agg(DISTINCT c, ' ' ORDER BY c) AS codes FROM (SELECT discogs_id, catalog_number AS c FROM live WHERE catalog_number <> 'none' UNION SELECT discogs_id, regexp_replace(upper(strip_accents(catalog_number)), '[^\\p{{L}}\\p{{N}}]', '', 'g') FROM live WHERE catalog_number <> 'none') WHERE c <> '' GROUP BY discogs_id)
+SELECT live.discogs_id AS ext_id, title, coalesce(people, '') AS people, coalesce(codes, '') AS codes, concat_ws(' ', label_name, CASE WHEN regexp_matches(released, '^[0-9]{{4}}') AND CAST(substr(released, 1, 4) AS INT) BETWEEN 1850 AND 2100 THEN substr(released, 1, 4) END, country, format_name) AS extra
+FROM live LEFT JOIN p ON p.owner_id = live.discogs_id LEFT JOIN k ON k.discogs_id = live.discogs_id""")
+def q_search_documents(spark: SparkSession, d: str) -> DataFrame:  # FTS-01
+    r = releases(spark, d).withColumn("ext_id", F.col("discogs_id"))
+    c = table(spark, d, "credits").filter("owner_type = 'release'").select(F.col("owner_id").alias("ext_id"), F.coalesce(F.nullif("anv", F.lit("")), "name").alias("credit"))
+    docs = r.select("ext_id", "title", parsing.year_in(F.col("released"), 1850, 2100, at_start=True).alias("year"), "country", F.col("format_name").alias("format"))
+    return entities.release_documents(docs, c, r.select("ext_id", F.when(F.col("catalog_number") != "none", F.col("catalog_number")).alias("code")), r.select("ext_id", F.col("label_name").alias("name")))
+
+
+@query("SELECT library_id, batch_date, count(*) AS total, count(DISTINCT identity_key) AS works, count(*) FILTER (external_id IS NULL) AS without_id, count(*) FILTER (target = 'digital') AS digital, epoch_us(min(loaded_at)) AS first_loaded FROM (SELECT DISTINCT library_id, batch_date, row_number, identity_key, external_id, target, loaded_at FROM parsed_rows) GROUP BY ALL")
+def q_batches(spark: SparkSession, d: str) -> DataFrame:  # QRY-23, QRY-24, QRY-28
+    p = table(spark, d, "parsed_rows").select("library_id", "batch_date", "row_number", "identity_key", "external_id", "target", "loaded_at").distinct()
+    return p.groupBy("library_id", "batch_date").agg(F.count("*").alias("total"), F.count_distinct("identity_key").alias("works"), F.count_if(F.col("external_id").isNull()).alias("without_id"), F.count_if(F.col("target") == "digital").alias("digital"), F.unix_micros(F.min("loaded_at")).alias("first_loaded"))
+
+
+@query("WITH t AS (SELECT row_id, unnest(string_split(coalesce(format_raw, ''), ',')) AS tag FROM collection_rows), u AS (SELECT DISTINCT row_id, lower(trim(tag)) AS tag FROM t WHERE trim(tag) <> '') SELECT tag, count(*) AS n FROM u GROUP BY tag HAVING count(*) >= 3")
+def q_tag_counts(spark: SparkSession, d: str) -> DataFrame:  # QRY-16, MUT-06, MUT-18, AGG-13
+    t = table(spark, d, "collection_rows").select("row_id", F.explode(F.split(F.coalesce("format_raw", F.lit("")), ",")).alias("t")).select("row_id", F.lower(F.trim("t")).alias("tag")).filter("tag <> ''").distinct()
+    return t.groupBy("tag").agg(F.count("*").alias("n")).filter("n >= 3")
