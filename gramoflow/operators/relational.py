@@ -137,3 +137,71 @@ def related(wanted: DataFrame, items: DataFrame, key: str, first: str, second: s
         one = a.join(b, "_k").filter(F.col(key) != F.col("other")).select(key, "other", F.lit(k).alias("reason"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def like_any(pattern: str, *columns: Column) -> Column:
+    """The pattern with its wildcards occurs in some column, without regard to ASCII case (FLT-05)."""
+    folded = "".join(chr(ord(ch) + 32) if "A" <= ch <= "Z" else ch for ch in pattern)
+    return reduce(lambda a, b: a | b, [ascii_fold(F.coalesce(c, F.lit(""))).like(f"%{folded}%") for c in columns])
+
+
+def either_join(left: DataFrame, right: DataFrame, exact: tuple[str, str], loose: tuple[str, str]) -> DataFrame:
+    """Rows of left with the right rows of their exact key, or without one of their loose key: two equi joins (FLT-12)."""
+    has = F.col(exact[0]).isNotNull()
+    a = left.filter(has).join(right, F.col(exact[0]) == F.col(exact[1]))
+    b = left.filter(~has).join(right, F.col(loose[0]) == F.col(loose[1]))
+    return a.unionByName(b)
+
+
+def sort_terms(column: str, descending: bool, ties: list[str]) -> list[Column]:
+    """Unknown values last in both directions, then the column, then ties ascending (SRT-06)."""
+    c = F.col(column)
+    return [c.isNull().asc(), c.desc() if descending else c.asc(), *[F.col(t).asc() for t in ties]]
+
+
+def first_seen_groups(df: DataFrame, group: str, order: list[str], **aggregates: Column) -> DataFrame:
+    """One row a group in the order in which groups first appear, with their place (AGG-17).
+
+    The places are those of a sorted list of groups; the sort is by range, over one row a group."""
+    g = df.groupBy(group).agg(F.min(F.struct(*order)).alias("_first"), *[c.alias(n) for n, c in aggregates.items()])
+    return g.orderBy("_first").drop("_first")
+
+
+def largest_plus_rest(df: DataFrame, group: list[str], first: str, rest: str, order: str) -> DataFrame:
+    """group, total: the largest ``first`` of a group and the ``rest`` of all its other rows; of equal ones the earliest counts (AGG-16)."""
+    best = F.max_by(F.col(rest), F.struct(F.col(first), -F.col(order)))
+    return df.groupBy(*group).agg((F.max(first) + F.sum(rest) - best).alias("total"))
+
+
+def owned_only(wanted: DataFrame, owned: DataFrame, key: list[str], order: str) -> DataFrame:
+    """Wanted references that are owned, each once, with the place where it first stood (SET-06)."""
+    once = wanted.groupBy(*key).agg(F.min(order).alias(order))
+    return once.join(owned.select(*key).distinct(), key, "left_semi")
+
+
+def union_last(parts: list[DataFrame], key: list[str]) -> DataFrame:
+    """Union in which the later part's row of a key replaces the earlier one's (SET-04)."""
+    numbered = [p.withColumn("_part", F.lit(i)) for i, p in enumerate(parts)]
+    return last_wins(reduce(DataFrame.unionByName, numbered), key, ["_part"]).drop("_part")
+
+
+def compare_sequences(items: DataFrame, record: str, position: str, value: str, blank: str = "—") -> DataFrame:
+    """position, vals by record order, differs: lists of several records side by side, full outer by position (QRY-04).
+
+    For a handful of records: more than 100 are refused."""
+    records = sorted(r[0] for r in items.select(record).distinct().limit(101).collect())
+    if len(records) > 100:
+        raise ValueError("more than 100 records to compare")
+    kind = items.schema[record].dataType
+    every = items.select(position).distinct().withColumn("_r", F.array(*[F.lit(r).cast(kind) for r in records]))
+    cells = every.select(position, F.posexplode("_r").alias("_n", record)).join(items.select(position, record, F.col(value).alias("_v")), [position, record], "left")
+    rows = cells.groupBy(position).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.coalesce("_v", F.lit(blank)).alias("v")))), lambda s: s["v"]).alias("vals"))
+    return rows.select(position, "vals", (F.size(F.array_distinct("vals")) > 1).alias("differs"))
+
+
+def suggestions(items: DataFrame, wanted: DataFrame, key: str, most: int = 8) -> DataFrame:
+    """wanted: wanted_id, code, title; items: key, code, title -> the first few items of the same code or folded title (QRY-29)."""
+    i = items.select(F.col(key), F.col("code").alias("_c"), ascii_fold(F.col("title")).alias("_t"))
+    by_code = wanted.join(i, F.col("code") == F.col("_c")).select("wanted_id", key)
+    by_title = wanted.join(i, ascii_fold(F.col("title")) == F.col("_t")).select("wanted_id", key)
+    return top_n(by_code.unionByName(by_title).distinct(), ["wanted_id"], [F.col(key)], most).drop("complete")

@@ -117,3 +117,35 @@ def ingest(current: DataFrame, records: DataFrame, key: str, hash_column: str, o
     repeated = records.count() - one.count()
     tally = done.groupBy("action").agg(F.count("*").alias("n")).unionByName(records.sparkSession.createDataFrame([("unchanged", repeated)], "action string, n bigint")).groupBy("action").agg(F.sum("n").alias("n"))
     return apply(current, done, key), tally
+
+
+def guarded(current: DataFrame, requests: DataFrame, key: str, expected: Column, changes: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+    """Compare-and-set (MUT-09). requests: key, request (their order) and what ``expected`` compares with the row.
+
+    Of the requests that find the row as expected the first one wins; it makes the changes. Returns the next table and
+    request, won."""
+    tried = requests.join(current, key, "left").select(key, "request", F.coalesce(expected, F.lit(False)).alias("ok"))
+    winner = tried.filter("ok").groupBy(key).agg(F.min("request").alias("_w"))
+    judged = tried.join(winner, key, "left").select("request", F.coalesce(F.col("request") == F.col("_w"), F.lit(False)).alias("won"))
+    following = current.join(winner.select(key, F.lit(True).alias("_hit")), key, "left")
+    for name, value in changes.items():
+        following = following.withColumn(name, F.when(F.col("_hit"), value).otherwise(F.col(name)))
+    return following.drop("_hit"), judged
+
+
+def soft_deleted(current: DataFrame, gone: DataFrame, key: str, now: Column, column: str = "deleted_at") -> DataFrame:
+    """The rows marked as deleted now, those already marked as they are (MUT-19)."""
+    hit = current.join(gone.select(key).distinct().withColumn("_hit", F.lit(True)), key, "left")
+    return hit.withColumn(column, F.when(F.col("_hit") & F.col(column).isNull(), now).otherwise(F.col(column))).drop("_hit")
+
+
+def link_all(links: DataFrame, items: DataFrame, value: Column, key: list[str], name: str) -> DataFrame:
+    """Links with one value added to all items that lack it (MUT-18)."""
+    wanted = items.select(*key, value.alias(name)).distinct()
+    return insert_missing(links, wanted, [*key, name])
+
+
+def unlink_all(links: DataFrame, items: DataFrame, key: list[str], name: str, value: str) -> DataFrame:
+    """Links without one value of the given items."""
+    gone = items.select(*key, F.lit(value).alias(name)).distinct()
+    return links.join(gone, [*key, name], "left_anti")

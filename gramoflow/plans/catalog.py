@@ -499,3 +499,65 @@ def q_batches(spark: SparkSession, d: str) -> DataFrame:  # QRY-23, QRY-24, QRY-
 def q_tag_counts(spark: SparkSession, d: str) -> DataFrame:  # QRY-16, MUT-06, MUT-18, AGG-13
     t = table(spark, d, "collection_rows").select("row_id", F.explode(F.split(F.coalesce("format_raw", F.lit("")), ",")).alias("t")).select("row_id", F.lower(F.trim("t")).alias("tag")).filter("tag <> ''").distinct()
     return t.groupBy("tag").agg(F.count("*").alias("n")).filter("n >= 3")
+
+
+@query("SELECT DISTINCT row_id, title FROM collection_rows WHERE lower(coalesce(title, '')) LIKE '%glass_%r' || '%' OR lower(coalesce(notes, '')) LIKE '%glass_%r%'")
+def q_like_filter(spark: SparkSession, d: str) -> DataFrame:  # FLT-05
+    c = table(spark, d, "collection_rows")
+    return c.filter(relational.like_any("GLASS_%r", F.col("title"), F.col("notes"))).select("row_id", "title").distinct()
+
+
+@query("WITH w AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS part, 'Brand#' || (c_custkey % 9) AS brand FROM customer WHERE c_custkey % 10 = 0) SELECT c_custkey, count(*) AS n, min(p_partkey) AS first_part FROM w JOIN part ON CASE WHEN w.part IS NULL THEN p_brand = w.brand ELSE p_partkey = w.part END GROUP BY c_custkey")
+def q_conditional_join(spark: SparkSession, d: str) -> DataFrame:  # FLT-12, QRY-18
+    k = F.col("c_custkey")
+    w = table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_custkey", F.when(k % 2 == 0, k).alias("part"), F.concat(F.lit("Brand#"), (k % 9).cast("string")).alias("brand"))
+    j = relational.either_join(w, table(spark, d, "part"), ("part", "p_partkey"), ("brand", "p_brand"))
+    return j.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
+
+
+@query("SELECT item_type, item_id, artist, label FROM (SELECT DISTINCT 'physical' AS item_type, row_id AS item_id, artist, nullif(label, '') AS label FROM collection_rows WHERE library_id = 1000) ORDER BY label IS NULL, label DESC, item_type, item_id LIMIT 48 OFFSET 48")
+def q_sorted_page(spark: SparkSession, d: str) -> DataFrame:  # SRT-02, SRT-06, QRY-11: page 2
+    i = items(spark, d).filter("library_id = 1000 AND item_type = 'physical'").select("item_type", "item_id", "artist", F.nullif("label", F.lit("")).alias("label"))
+    return ordering.page(i, relational.sort_terms("label", True, ["item_type", "item_id"]), 2, 48)
+
+
+@query("SELECT l_orderkey, max(l_extendedprice) + sum(l_tax) - arg_max(l_tax, (l_extendedprice, -l_linenumber, l_tax)) AS total FROM (SELECT l_orderkey, l_linenumber, CAST(max(round(l_extendedprice * 100)) AS BIGINT) AS l_extendedprice, CAST(max(round(l_tax * 100)) AS BIGINT) AS l_tax FROM lineitem GROUP BY l_orderkey, l_linenumber) GROUP BY l_orderkey")
+def q_largest_plus_rest(spark: SparkSession, d: str) -> DataFrame:  # AGG-15, AGG-16
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.max(F.round(F.col("l_extendedprice") * 100).cast("bigint")).alias("p"), F.max(F.round(F.col("l_tax") * 100).cast("bigint")).alias("t"))
+    return relational.largest_plus_rest(lines, ["l_orderkey"], "p", "t", "l_linenumber")
+
+
+@query("WITH r AS (SELECT event_id AS request, user_id % 40 AS k, CAST(json_extract_string(props, '$.k') AS BIGINT) % 2 AS v FROM events), c AS (SELECT s_suppkey AS k, s_suppkey % 2 AS version FROM supplier), w AS (SELECT r.k, min(request) AS w FROM r JOIN c ON c.k = r.k AND c.version = r.v GROUP BY r.k) SELECT c.k, CASE WHEN w IS NOT NULL THEN version + 1 ELSE version END AS version FROM c LEFT JOIN w ON w.k = c.k")
+def q_guarded_update(spark: SparkSession, d: str) -> DataFrame:  # MUT-09
+    r = table(spark, d, "events").select(F.col("event_id").alias("request"), (F.col("user_id") % 40).alias("k"), (F.from_json("props", "k bigint")["k"] % 2).alias("v"))
+    c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), (F.col("s_suppkey") % 2).alias("version"))
+    return upsert.guarded(c, r, "k", F.col("version") == F.col("v"), {"version": F.col("version") + 1})[0]
+
+
+@query("SELECT user_id, min(event_id) AS first_event FROM events WHERE user_id IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING') GROUP BY user_id")
+def q_owned_refs(spark: SparkSession, d: str) -> DataFrame:  # SET-06, FLT-10
+    e = table(spark, d, "events").select("user_id", F.col("event_id").alias("first_event"))
+    return relational.owned_only(e, table(spark, d, "customer").filter("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("user_id")), ["user_id"], "first_event")
+
+
+@query("WITH i AS (SELECT l_orderkey AS o, l_linenumber AS pos, max(l_partkey) AS p FROM lineitem WHERE l_orderkey IN (1, 2, 3) GROUP BY ALL), r AS (SELECT DISTINCT o FROM i), e AS (SELECT DISTINCT pos FROM i) SELECT e.pos, string_agg(coalesce(CAST(i.p AS VARCHAR), '—'), '|' ORDER BY r.o) AS vals, count(DISTINCT coalesce(CAST(i.p AS VARCHAR), '—')) > 1 AS differs FROM e CROSS JOIN r LEFT JOIN i ON i.o = r.o AND i.pos = e.pos GROUP BY e.pos")
+def q_sequence_matrix(spark: SparkSession, d: str) -> DataFrame:  # QRY-04 (lists side by side)
+    i = table(spark, d, "lineitem").filter(F.col("l_orderkey").isin(1, 2, 3)).groupBy("l_orderkey", F.col("l_linenumber").alias("pos")).agg(F.max("l_partkey").cast("string").alias("p"))
+    return relational.compare_sequences(i, "l_orderkey", "pos", "p").withColumn("vals", F.array_join("vals", "|"))
+
+
+@query("SELECT o_custkey, count(*) AS n, min(o_orderkey) AS first_order FROM orders GROUP BY o_custkey")
+def q_first_seen_groups(spark: SparkSession, d: str) -> DataFrame:  # AGG-17
+    return relational.first_seen_groups(table(spark, d, "orders"), "o_custkey", ["o_orderdate", "o_orderkey"], n=F.count("*"), first_order=F.min("o_orderkey"))
+
+
+@query("SELECT c_mktsegment, string_agg(DISTINCT o_orderstatus, ',' ORDER BY o_orderstatus) AS statuses FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY c_mktsegment")
+def q_role_list(spark: SparkSession, d: str) -> DataFrame:  # AGG-21
+    j = table(spark, d, "customer").join(table(spark, d, "orders"), F.col("o_custkey") == F.col("c_custkey"))
+    return j.groupBy("c_mktsegment").agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"))
+
+
+@query("WITH w AS (SELECT c_custkey AS wanted_id, c_custkey * 3 AS code, 'small ring' AS title FROM customer WHERE c_custkey % 100 = 0), m AS (SELECT wanted_id, p_partkey FROM w JOIN part ON p_partkey = code UNION SELECT wanted_id, p_partkey FROM w JOIN part ON lower(p_name) = title) SELECT wanted_id, p_partkey, position FROM (SELECT *, row_number() OVER (PARTITION BY wanted_id ORDER BY p_partkey) AS position FROM m) WHERE position <= 8")
+def q_suggestions(spark: SparkSession, d: str) -> DataFrame:  # QRY-29: the first 8 for each wanted item
+    w = table(spark, d, "customer").filter("c_custkey % 100 = 0").select(F.col("c_custkey").alias("wanted_id"), (F.col("c_custkey") * 3).alias("code"), F.lit("small ring").alias("title"))
+    return relational.suggestions(table(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("code"), F.col("p_name").alias("title")), w, "p_partkey")

@@ -48,7 +48,7 @@ def record_id(df: DataFrame) -> Column:
 
 
 def checked_records(df: DataFrame, required: str) -> tuple[DataFrame, DataFrame]:
-    """Valid records with discogs-style numeric ``ext_id``, and errors (record_index, source_file, id, reason)."""
+    """Valid records with their numeric ``ext_id``, and errors (record_index, source_file, id, reason)."""
     rid = record_id(df)
     number = parsing.external_id(rid)
     reason = (

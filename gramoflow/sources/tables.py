@@ -63,3 +63,30 @@ def read_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def as_json(df: DataFrame, column: str = "json") -> DataFrame:
     """One JSON object a row, with nulls (SNK-04)."""
     return df.select(F.to_json(F.struct("*"), {"ignoreNullFields": "false"}).alias(column))
+
+
+class Freshness:
+    """When an index became stale and why; the first time is kept until it is rebuilt (FTS-09)."""
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, path
+
+    def mark(self, at: str, reason: str) -> None:
+        self.spark.createDataFrame([("stale", at, reason)], "event string, at string, reason string").coalesce(1).write.mode("append").json(self.path)
+
+    def rebuilt(self, at: str) -> None:
+        self.spark.createDataFrame([("rebuilt", at, None)], "event string, at string, reason string").coalesce(1).write.mode("append").json(self.path)
+
+    def state(self) -> DataFrame:
+        """stale_since, reason; nulls if fresh."""
+        log = self.spark.read.schema("event string, at string, reason string").json(self.path)
+        done = log.filter("event = 'rebuilt'").agg(F.coalesce(F.max("at"), F.lit("")).alias("_done")).first()._done
+        return log.filter((F.col("event") == "stale") & (F.col("at") > done)).agg(F.min("at").alias("stale_since"), F.max_by("reason", "at").alias("reason"))
+
+
+def generated(spark: SparkSession, rows: int, seed: int = 1, **columns: list[str]) -> DataFrame:
+    """id and one column a list, its values drawn by hash: the same rows for the same seed (SNK-05)."""
+    df = spark.range(rows)
+    for i, (name, values) in enumerate(columns.items()):
+        df = df.withColumn(name, F.element_at(F.array(*[F.lit(v) for v in values]), (F.pmod(F.xxhash64("id", F.lit(seed), F.lit(i)), F.lit(len(values))) + 1).cast("int")))
+    return df

@@ -58,3 +58,8 @@ def resolved_stream(facts: DataFrame, dimension: VersionedTable, target: Version
         target.publish(rows if dim is None else upsert.resolve(rows, dim, fk, ext, dim_id, dim_ext), batch_key)
 
     return facts.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).queryName(name).trigger(availableNow=True).start()
+
+
+def progress(query: StreamingQuery) -> list[dict]:
+    """Of the last batches: number, rows, rows a second, milliseconds by phase (STR-04)."""
+    return [{"batch": p["batchId"], "rows": p["numInputRows"], "rate": p["processedRowsPerSecond"], "ms": dict(p["durationMs"])} for p in query.recentProgress]

@@ -101,3 +101,35 @@ def test_duplicates_and_quality(spark):
     df = spark.createDataFrame([(1, None, 5), (1, 2, None), (None, 3, 3)], "a bigint, b bigint, c bigint")
     assert [tuple(r) for r in quality.violations(df, one=quality.exactly_one(F.col("b"), F.col("c")), small=F.col("a") < 5).collect()] == [("one", 1)]
     assert [tuple(r) for r in quality.repeated_keys(df, ["a"]).collect()] == [(1, 2)]
+
+
+def test_guarded_update_soft_delete_and_links(spark):
+    cur = spark.createDataFrame([(1, 0, None), (2, 5, None), (3, 0, "t0")], "k bigint, version bigint, deleted_at string")
+    req = spark.createDataFrame([(1, 10, 0), (1, 9, 0), (2, 11, 4), (9, 12, 0)], "k bigint, request bigint, want bigint")
+    nxt, judged = upsert.guarded(cur, req, "k", F.col("version") == F.col("want"), {"version": F.col("version") + 1})
+    assert {r.request: r.won for r in judged.collect()} == {9: True, 10: False, 11: False, 12: False}
+    assert {r.k: r.version for r in nxt.collect()} == {1: 1, 2: 5, 3: 0}
+    gone = upsert.soft_deleted(cur, spark.createDataFrame([(1,), (3,)], "k bigint"), "k", F.lit("t9"))
+    assert {r.k: r.deleted_at for r in gone.collect()} == {1: "t9", 2: None, 3: "t0"}
+    links = spark.createDataFrame([(1, "a")], "k bigint, tag string")
+    more = upsert.link_all(links, cur, F.lit("a"), ["k"], "tag")
+    assert sorted(tuple(r) for r in more.collect()) == [(1, "a"), (2, "a"), (3, "a")]
+    assert sorted(r.k for r in upsert.unlink_all(more, cur.filter("k < 3"), ["k"], "tag", "a").collect()) == [3]
+
+
+def test_sets(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string"), spark.createDataFrame([(2, "z")], "k int, v string")
+    assert sorted(tuple(r) for r in rl.union_last([a, b], ["k"]).collect()) == [(1, "x"), (2, "z")]
+    lists = spark.createDataFrame([("r1", 1, "a"), ("r1", 2, "b"), ("r2", 1, "a")], "r string, p int, v string")
+    assert sorted((x.p, x.vals, x.differs) for x in rl.compare_sequences(lists, "r", "p", "v").collect()) == [(1, ["a", "a"], False), (2, ["b", "—"], True)]
+
+
+def test_nested_entities(spark):
+    from gramoflow.operators import entities
+
+    p = spark.createDataFrame([(1, "A"), (2, "B")], "id bigint, name string")
+    c = spark.createDataFrame([(1, 2, "y"), (1, 1, "x")], "id bigint, pos int, v string")
+    got = {r.id: [(x.pos, x.v) for x in r.kids] for r in entities.with_children(p, "id", kids=(c, ["pos", "v"])).collect()}
+    assert got == {1: [(1, "x"), (2, "y")], 2: []}
+    docs = entities.artist_documents(spark.createDataFrame([(1, "N", None, ["v", None], None)], "ext_id bigint, name string, realname string, variations array<string>, aliases array<string>"))
+    assert tuple(docs.first()) == (1, "N", "v", "", "")

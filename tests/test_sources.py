@@ -130,3 +130,14 @@ def test_index_files(spark, tmp_path):
     posted, lengths = tables.read_index(spark, str(tmp_path / "i"))
     assert [r.id for r in search.ranked(posted, lengths, "id", search.compile_query("violin"), limit=1).collect()] == [2]
     assert '"title":"violin"' in tables.as_json(docs.filter("id = 2")).first().json
+
+
+def test_freshness_and_generator(spark, tmp_path):
+    f = tables.Freshness(spark, str(tmp_path / "f"))
+    f.mark("2025-01-02", "import")
+    f.mark("2025-01-03", "edit")
+    assert tuple(f.state().first()) == ("2025-01-02", "edit")
+    f.rebuilt("2025-01-04")
+    assert tuple(f.state().first()) == (None, None)
+    g = tables.generated(spark, 100, 7, kind=["a", "b", "c"])
+    assert g.count() == 100 and sorted(map(tuple, g.collect())) == sorted(map(tuple, tables.generated(spark, 100, 7, kind=["a", "b", "c"]).collect()))
