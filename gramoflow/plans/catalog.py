@@ -28,10 +28,10 @@ def query(sql: str):
     return add
 
 
-def releases(spark: SparkSession, d: str) -> DataFrame:
-    """The newest row of each release that is not deleted."""
-    r = relational.last_wins(table(spark, d, "release_records").drop("loaded_at"), ["discogs_id"], ["dump_date", "load_id"])
-    return r.filter("status IS DISTINCT FROM 'Deleted'")
+def releases(spark: SparkSession, d: str, *columns: str) -> DataFrame:
+    """discogs_id and the columns of the newest row of each release that is not deleted; only they are read and shuffled."""
+    r = relational.last_wins(table(spark, d, "release_records").select("discogs_id", "dump_date", "load_id", "status", *columns), ["discogs_id"], ["dump_date", "load_id"])
+    return r.filter("status IS DISTINCT FROM 'Deleted'").select("discogs_id", *columns)
 
 
 _LIVE = """live AS (
@@ -49,7 +49,7 @@ FROM keyed GROUP BY work ORDER BY year ASC NULLS LAST, work LIMIT 24 OFFSET 24""
 def q_browse_works(spark: SparkSession, d: str) -> DataFrame:  # AGG-04, AGG-05, JOI-11, SRT-01, SRT-07, QRY-01
     work = F.coalesce(F.concat(F.lit("m"), F.col("master_discogs_id")), F.concat(F.lit("r"), F.col("discogs_id")))
     year = parsing.year_in(F.col("released"), 1850, 2100, at_start=True)
-    g = releases(spark, d).groupBy(work.alias("work")).agg(F.count("*").alias("n"), F.min("discogs_id").alias("first_id"), F.array_join(F.array_sort(F.collect_list("discogs_id")).cast("array<string>"), ",").alias("ids"), F.min(year).alias("year"))
+    g = releases(spark, d, "master_discogs_id", "released").groupBy(work.alias("work")).agg(F.count("*").alias("n"), F.min("discogs_id").alias("first_id"), F.array_join(F.array_sort(F.collect_list("discogs_id")).cast("array<string>"), ",").alias("ids"), F.min(year).alias("year"))
     return ordering.page(g, [ordering.nulls_last(F.col("year")), F.col("work")], 2, 24)
 
 
@@ -74,18 +74,18 @@ def q_terms_all(spark: SparkSession, d: str) -> DataFrame:  # JOI-10
 @query(f"WITH {_LIVE} SELECT discogs_id, title FROM live WHERE EXISTS (SELECT 1 FROM credits c WHERE c.owner_type = 'release' AND c.owner_id = live.discogs_id AND c.role = 'Bass')")
 def q_credited_semi(spark: SparkSession, d: str) -> DataFrame:  # JOI-03
     c = table(spark, d, "credits").filter("owner_type = 'release' AND role = 'Bass'").select(F.col("owner_id").alias("discogs_id"))
-    return releases(spark, d).join(c, "discogs_id", "left_semi").select("discogs_id", "title")
+    return releases(spark, d, "title").join(c, "discogs_id", "left_semi").select("discogs_id", "title")
 
 
 @query(f"WITH {_LIVE} SELECT DISTINCT discogs_id, title FROM master_records m WHERE NOT EXISTS (SELECT 1 FROM live WHERE live.master_discogs_id = m.discogs_id)")
 def q_no_release_anti(spark: SparkSession, d: str) -> DataFrame:  # JOI-04, SET-05
-    used = releases(spark, d).select(F.col("master_discogs_id").alias("discogs_id"))
+    used = releases(spark, d, "master_discogs_id").select(F.col("master_discogs_id").alias("discogs_id"))
     return table(spark, d, "master_records").select("discogs_id", "title").distinct().join(used, "discogs_id", "left_anti")
 
 
 @query(f"WITH {_LIVE}, {_TERMS} SELECT 'country' AS kind, country AS value FROM live WHERE country IS NOT NULL UNION SELECT 'format', format_name FROM live WHERE format_name IS NOT NULL UNION SELECT 'term', term FROM terms WHERE term IS NOT NULL")
 def q_facets(spark: SparkSession, d: str) -> DataFrame:  # AGG-12, QRY-02
-    r = releases(spark, d)
+    r = releases(spark, d, "country", "format_name")
     return relational.union_distinct(
         r.select(F.lit("country").alias("kind"), F.col("country").alias("value")), r.select(F.lit("format").alias("kind"), F.col("format_name").alias("value")), _terms(spark, d).select(F.lit("term").alias("kind"), F.col("term").alias("value"))
     ).filter("value IS NOT NULL")
@@ -188,7 +188,7 @@ def q_library_counts(spark: SparkSession, d: str) -> DataFrame:  # AGG-01, AGG-0
 
 @query(f"WITH {_LIVE}, k AS (SELECT discogs_id, master_discogs_id AS m, CASE WHEN catalog_number <> 'none' THEN catalog_number END AS c FROM live) SELECT a.discogs_id, b.discogs_id AS other, 'm' AS reason FROM k a JOIN k b ON a.m = b.m AND a.discogs_id <> b.discogs_id WHERE a.discogs_id % 100 = 0 UNION ALL SELECT a.discogs_id, b.discogs_id, 'c' FROM k a JOIN k b ON a.c = b.c AND a.m IS NULL AND b.m IS NULL AND a.discogs_id <> b.discogs_id WHERE a.discogs_id % 100 = 0")
 def q_related(spark: SparkSession, d: str) -> DataFrame:  # QRY-14: asked for the releases whose id is divisible by 100, against all
-    k = releases(spark, d).select("discogs_id", F.col("master_discogs_id").alias("m"), F.when(F.col("catalog_number") != "none", F.col("catalog_number")).alias("c"))
+    k = releases(spark, d, "master_discogs_id", "catalog_number").select("discogs_id", F.col("master_discogs_id").alias("m"), F.when(F.col("catalog_number") != "none", F.col("catalog_number")).alias("c"))
     return relational.related(k.filter("discogs_id % 100 = 0"), k, "discogs_id", "m", "c")
 
 
@@ -393,7 +393,7 @@ p AS (SELECT i, j, sc + CASE WHEN w THEN 1 + CASE WHEN fm THEN 2 ELSE 0 END + CA
 q AS (SELECT i AS id, j AS other, base + CASE WHEN ls AND base >= 2 THEN 1 ELSE 0 END AS score, why OR (ls AND base >= 2) AS why FROM p)
 SELECT id, other, score FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY score DESC, other) AS rn FROM q WHERE score >= 2 AND why) WHERE rn <= 8""")
 def q_duplicates(spark: SparkSession, d: str) -> DataFrame:  # SCL-19, SCL-20, SRT-09, QRY-05: the best 8 for each release whose id is divisible by 100, against all
-    k = releases(spark, d).select(
+    k = releases(spark, d, "catalog_number", "master_discogs_id", "format_name", "country", "released", "label_name").select(
         F.col("discogs_id").alias("id"), text.normalize_code(F.col("catalog_number")).alias("code"), F.col("master_discogs_id").alias("work"), F.col("format_name").alias("format"), "country", parsing.year_in(F.col("released"), 1850, 2100, at_start=True).alias("year"), F.col("label_name").alias("label")
     )
     return duplicates.candidates(k.filter("id % 100 = 0"), k).drop("reasons")
@@ -467,7 +467,7 @@ def q_nested_record(spark: SparkSession, d: str) -> DataFrame:  # QRY-03, QRY-10
 SELECT l.discogs_id, l.name, u.name AS parent_name, coalesce(array_to_string(k.x, '|'), '') AS children
 FROM l LEFT JOIN l u ON u.discogs_id = l.p LEFT JOIN (SELECT p, list(name ORDER BY name, discogs_id) AS x FROM l WHERE p IS NOT NULL GROUP BY p) k ON k.p = l.discogs_id""")
 def q_label_tree(spark: SparkSession, d: str) -> DataFrame:  # QRY-08, JOI-07
-    rows = relational.last_wins(table(spark, d, "label_records").drop("loaded_at"), ["discogs_id"], ["dump_date", "load_id"]).filter("NOT deleted")
+    rows = relational.last_wins(table(spark, d, "label_records").select("discogs_id", "dump_date", "load_id", "deleted", "name", "parent_discogs_id"), ["discogs_id"], ["dump_date", "load_id"]).filter("NOT deleted")
     tree = entities.hierarchy(rows.withColumn("p", F.nullif("parent_discogs_id", F.lit(0))), "discogs_id", "p", "name")
     return tree.withColumn("children", F.array_join("children", "|"))
 
@@ -483,7 +483,7 @@ k AS (SELECT discogs_id, string_agg(DISTINCT c, ' ' ORDER BY c) AS codes FROM (S
 SELECT live.discogs_id AS ext_id, title, coalesce(people, '') AS people, coalesce(codes, '') AS codes, concat_ws(' ', label_name, CASE WHEN regexp_matches(released, '^[0-9]{{4}}') AND CAST(substr(released, 1, 4) AS INT) BETWEEN 1850 AND 2100 THEN substr(released, 1, 4) END, country, format_name) AS extra
 FROM live LEFT JOIN p ON p.owner_id = live.discogs_id LEFT JOIN k ON k.discogs_id = live.discogs_id""")
 def q_search_documents(spark: SparkSession, d: str) -> DataFrame:  # FTS-01
-    r = releases(spark, d).withColumn("ext_id", F.col("discogs_id"))
+    r = releases(spark, d, "title", "released", "country", "format_name", "label_name", "catalog_number").withColumn("ext_id", F.col("discogs_id"))
     c = table(spark, d, "credits").filter("owner_type = 'release'").select(F.col("owner_id").alias("ext_id"), F.coalesce(F.nullif("anv", F.lit("")), "name").alias("credit"))
     docs = r.select("ext_id", "title", parsing.year_in(F.col("released"), 1850, 2100, at_start=True).alias("year"), "country", F.col("format_name").alias("format"))
     return entities.release_documents(docs, c, r.select("ext_id", F.when(F.col("catalog_number") != "none", F.col("catalog_number")).alias("code")), r.select("ext_id", F.col("label_name").alias("name")))
@@ -557,7 +557,8 @@ def q_role_list(spark: SparkSession, d: str) -> DataFrame:  # AGG-21
     return j.groupBy("c_mktsegment").agg(F.array_join(F.array_sort(F.collect_set("o_orderstatus")), ",").alias("statuses"))
 
 
-@query("WITH w AS (SELECT c_custkey AS wanted_id, c_custkey * 3 AS code, 'small ring' AS title FROM customer WHERE c_custkey % 100 = 0), m AS (SELECT wanted_id, p_partkey FROM w JOIN part ON p_partkey = code UNION SELECT wanted_id, p_partkey FROM w JOIN part ON lower(p_name) = title) SELECT wanted_id, p_partkey, position FROM (SELECT *, row_number() OVER (PARTITION BY wanted_id ORDER BY p_partkey) AS position FROM m) WHERE position <= 8")
+@query("WITH w AS (SELECT p_partkey AS wanted_id, p_partkey * 3 AS code, upper(p_name) AS title FROM part WHERE p_partkey % 100 = 0), m AS (SELECT wanted_id, p_partkey FROM w JOIN part ON p_partkey = code UNION SELECT wanted_id, p_partkey FROM w JOIN part ON lower(p_name) = lower(title)) SELECT wanted_id, p_partkey, position FROM (SELECT *, row_number() OVER (PARTITION BY wanted_id ORDER BY p_partkey) AS position FROM m) WHERE position <= 8")
 def q_suggestions(spark: SparkSession, d: str) -> DataFrame:  # QRY-29: the first 8 for each wanted item
-    w = table(spark, d, "customer").filter("c_custkey % 100 = 0").select(F.col("c_custkey").alias("wanted_id"), (F.col("c_custkey") * 3).alias("code"), F.lit("small ring").alias("title"))
-    return relational.suggestions(table(spark, d, "part").select("p_partkey", F.col("p_partkey").alias("code"), F.col("p_name").alias("title")), w, "p_partkey")
+    p = table(spark, d, "part")
+    w = p.filter("p_partkey % 100 = 0").select(F.col("p_partkey").alias("wanted_id"), (F.col("p_partkey") * 3).alias("code"), F.upper("p_name").alias("title"))
+    return relational.suggestions(p.select("p_partkey", F.col("p_partkey").alias("code"), F.col("p_name").alias("title")), w, "p_partkey")
