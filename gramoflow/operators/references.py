@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramoflow.operators.scale import sized_join
+from gramoflow.operators.scale import sized_join, stage
 
 
 def references(rows: DataFrame, rec_id: str, ref_id: str, period: str, placeholders: tuple[int, ...] = ()) -> DataFrame:
@@ -52,7 +52,7 @@ def orphans(refs: DataFrame, holdings: DataFrame, snapshot: bool) -> DataFrame:
         left = p.join(h, span, "left_anti")
     first = holdings.groupBy("ref_id").agg(F.min("since").alias("first"))
     reason = F.when(F.col("first").isNull(), "missing").when(F.col("first") <= F.col("period"), "deleted").otherwise("later")
-    explained = left.join(first, "ref_id", "left").select("ref_id", "period", reason.alias("reason"))
+    explained = stage(left.join(first, "ref_id", "left").select("ref_id", "period", reason.alias("reason")), "orphans")
     return sized_join(refs, explained, ["ref_id", "period"]).select("rec_id", "period", "ref_id", "reason").distinct()
 
 
