@@ -28,7 +28,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramoflow.operators.scale import sized_join, within
+from gramoflow.operators.scale import sized_join, stage, within
 
 UNMATCHED = "(unmatched)"
 #: Entries of a reference list in one tree.
@@ -212,5 +212,5 @@ def map_rows(rows: DataFrame, values: DataFrame, reference: DataFrame, shard_ent
     exact = reference.select("field", F.explode(F.array("entry", "entry_label")).alias("value")).distinct()
     cases = values.filter("trim(value) <> ''").join(exact, ["field", "value"], "left_anti")
     entries = map_values(cases, reference, shard_entries)
-    of_text = cases.join(entries, ["field", "value"]).select("field", "text", "entry")
+    of_text = stage(cases.join(entries, ["field", "value"]).select("field", "text", "entry"), "entries")
     return sized_join(rows.filter("text IS NOT NULL").distinct(), of_text, ["field", "text"]).select("row_id", "field", "entry")
