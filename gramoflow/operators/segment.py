@@ -29,8 +29,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramoflow.operators.scale import within
-
 # The vocabulary of formats and their descriptions.
 FORMAT_VALUES = (
     "Vinyl", "CD", "CDr", "Cassette", "File", "MiniDisc", "Reel-To-Reel", "8-Track Cartridge", "Shellac", "Flexi-disc", "Lathe Cut", "Acetate", "SACD", "DVD", "Box Set",
@@ -176,8 +174,9 @@ def segment_fields(fields: DataFrame, names: DataFrame | None = None, vocabulary
     vocabulary = list(vocabulary)
     plain = frozenset(v.lower() for v in vocabulary)
     schema = fields.schema.simpleString()[7:-1]
-    if names is None or within(names, shard_values):
-        values = vocabulary if names is None else vocabulary + [r.v for r in names.collect()]  # at most shard_values
+    first = [] if names is None else [r.v for r in names.limit(shard_values + 1).collect()]
+    if len(first) <= shard_values:
+        values = vocabulary + first
         held = fields.sparkSession.sparkContext.broadcast([v for v in values if re.search(ANY_DELIMITER, v)])
 
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
