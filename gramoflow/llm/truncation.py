@@ -38,6 +38,8 @@ from gramoflow.operators.scale import sized_join, spread, stage
 
 ORDERS = 8
 FINAL_LETTERS = 16
+#: Characters of a text's end in which its last letters are looked for.
+TAILS = (300, 4_000, 1_000_000_000)
 MIN_COUNT = 100
 KAPPA = 20.0
 #: A word is frequent if it is in this share of the documents.
@@ -98,39 +100,53 @@ class Letters:
         return got
 
 
-def _ends(tokens: list[str], letters: Letters) -> tuple[list[int], int]:
-    """Hashes of the final contexts, of both chains (0 where there is none), and of the last FINAL_LETTERS letters."""
-    last = [letters.of(w) for w in tokens[-FINAL_LETTERS:]]
-    sym = np.array([x[0] for x in last], np.uint64)
-    out = []
-    for alt in (0, 1):
-        for k in range(1, ORDERS + 1):
-            if len(last) < k or (alt and not last[-1][3]):
-                out.append(0)
-                continue
-            h = np.zeros(1, np.uint64)
-            for s in sym[len(sym) - k : len(sym) - 1]:
-                h = _mix(h, s)
-            h = _mix(h, np.uint64(last[-1][2]) if alt else sym[-1])
-            out.append(int((h ^ _SALT[k, alt]).view(np.int64)[0]))
-    h = np.zeros(1, np.uint64)
-    for s in sym:
-        h = _mix(h, s)
-    return out, int(h.view(np.int64)[0])
-
-
-def final_contexts(text: str, letters: Letters) -> tuple[list[int], list[int], int, int] | None:
-    """Contexts of the text as it is, of the text without a cut's leavings (empty if the same), the key of its ending, and
-    the number of letters in the leavings if they are dots only, else 0."""
+def _ends(texts: list[list[str]], letters: Letters) -> tuple[np.ndarray, np.ndarray]:
+    """For the tokens of each text: hashes of the final contexts, of both chains (0 where there is none), and of the last
+    FINAL_LETTERS letters."""
+    sym = np.zeros((len(texts), FINAL_LETTERS), np.uint64)
+    every, held = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.int64)
+    for i, tokens in enumerate(texts):
+        last = [letters.of(w) for w in tokens[-FINAL_LETTERS:]]
+        if last:
+            sym[i, FINAL_LETTERS - len(last) :] = [x[0] for x in last]
+            every[i], held[i] = last[-1][2] if last[-1][3] else 0, len(last)
+    out = np.zeros((len(texts), 2 * ORDERS), np.int64)
+    for k in range(1, ORDERS + 1):
+        h = np.zeros(len(texts), np.uint64)
+        for j in range(FINAL_LETTERS - k, FINAL_LETTERS - 1):
+            h = _mix(h, sym[:, j])
+        for alt, (letter, there) in enumerate(((sym[:, -1], held >= k), (every, (held >= k) & (every != 0)))):
+            out[:, alt * ORDERS + k - 1] = np.where(there, (_mix(h, letter) ^ _SALT[k, alt]).view(np.int64), 0)
+    key = np.zeros(len(texts), np.uint64)
+    for j in range(FINAL_LETTERS):
+        key = _mix(key, sym[:, j])
+    return out, key.view(np.int64)
+
+
+def _tail_tokens(text: str) -> tuple[list[str], list[str]]:
+    """Tokens at the text's end, and those without a cut's leavings (empty if there are none)."""
     whole = text.rstrip()
-    tokens = _TOKEN.findall(whole[-4000:])
-    if not tokens:
-        return None
-    bare = _REST.sub("", whole[-4000:])
-    full, key = _ends(tokens, letters)
-    rest = _TOKEN.findall(bare) if bare != whole[-4000:] else []
-    left = tokens[len(rest) :] if rest else []
-    return full, (_ends(rest, letters)[0] if rest else []), key, len(left) if set(left) <= {".", "…"} else 0
+    for size in TAILS:  # the last letters usually stand in the first, shortest tail
+        tail = whole[-size:]
+        tokens = _TOKEN.findall(tail)
+        bare = _REST.sub("", tail)
+        rest = _TOKEN.findall(bare) if bare != tail else []
+        if len(tail) == len(whole) or len(rest or tokens) > FINAL_LETTERS:
+            break
+    return tokens, rest
+
+
+def final_contexts(texts: list[str], letters: Letters) -> tuple[list[bool], np.ndarray, list[list[int]], np.ndarray, list[int]]:
+    """Of each text: whether it has letters; contexts of the text as it is; of the text without a cut's leavings (empty if
+    it has none); the key of its ending; the number of letters in the leavings if they are dots only, else 0."""
+    ends = [_tail_tokens(t) for t in texts]
+    full, key = _ends([t for t, _ in ends], letters)
+    cut = [i for i, (_, rest) in enumerate(ends) if rest]
+    bare: list[list[int]] = [[] for _ in texts]
+    for i, row in zip(cut, _ends([ends[i][1] for i in cut], letters)[0].tolist(), strict=True):
+        bare[i] = row
+    dots = [len(t) - len(r) if r and set(t[len(r) :]) <= {".", "…"} else 0 for t, r in ends]
+    return [bool(t) for t, _ in ends], full, bare, key, dots
 
 
 def interior(texts: list[str], letters: Letters) -> tuple[np.ndarray, np.ndarray]:
@@ -186,6 +202,12 @@ def interior(texts: list[str], letters: Letters) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(hashes), np.concatenate(counts)
 
 
+def _summed(h: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct hashes with their counts added up, by a hash table."""
+    codes, distinct = pd.factorize(h)
+    return distinct, np.bincount(codes, n, len(distinct)).astype(np.int64)
+
+
 def frequent_words(documents: DataFrame) -> list[str]:
     """Words in at least FREQUENT_SHARE of the documents; at most distinct words a document / FREQUENT_SHARE."""
 
@@ -215,8 +237,9 @@ def scores(documents: DataFrame) -> DataFrame:
     def finals(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         letters = Letters(frequent.value)
         for pdf in batches:
-            got = [final_contexts(t, letters) for t in pdf["text"]]
-            rows = [(d, x, s, *g) for d, x, s, g in zip(pdf["doc_id"].tolist(), pdf["lang"].tolist(), pdf["source"].tolist(), got, strict=True) if g is not None]
+            some, full, bare, key, dots = final_contexts(pdf["text"].tolist(), letters)
+            columns = (pdf["doc_id"].tolist(), pdf["lang"].tolist(), pdf["source"].tolist(), full.tolist(), bare, key.tolist(), dots)
+            rows = [r for ok, *r in zip(some, *columns, strict=True) if ok]
             names = ("doc_id", "lang", "source", "full", "bare", "ending", "dots")
             yield pd.DataFrame({n: pd.Series([None if isinstance(v := r[i], float) else v for r in rows], dtype=object) for i, n in enumerate(names)})
 
@@ -246,20 +269,19 @@ def scores(documents: DataFrame) -> DataFrame:
                 at = end
                 s = (h.view(np.uint64) % np.uint64(BITMAP_BITS)).astype(np.int64)  # pmod of a power of two
                 hit = (held.value[s >> 3] >> (s & 7).astype(np.uint8)) & 1 == 1
-                h, where = np.unique(h[hit], return_inverse=True)
+                h, n = _summed(h[hit], n[hit])
                 hs.append(h)
-                ns.append(np.bincount(where, n[hit], len(h)).astype(np.int64))
+                ns.append(n)
                 size += len(h)
                 if size > 2_000_000:
-                    h, where = np.unique(np.concatenate(hs), return_inverse=True)
-                    n = np.bincount(where, np.concatenate(ns), len(h)).astype(np.int64)
+                    h, n = _summed(np.concatenate(hs), np.concatenate(ns))
                     hs, ns, size = [h], [n], len(h)
                     if size > 1_000_000:
                         yield pd.DataFrame({"h": h, "c": n})
                         hs, ns, size = [], [], 0
         if hs:
-            h, where = np.unique(np.concatenate(hs), return_inverse=True)
-            yield pd.DataFrame({"h": h, "c": np.bincount(where, np.concatenate(ns), len(h)).astype(np.int64)})
+            h, n = _summed(np.concatenate(hs), np.concatenate(ns))
+            yield pd.DataFrame({"h": h, "c": n})
 
     continued = docs.select("text").mapInPandas(goes_on, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
     counts = needed.join(ended, "h", "left").join(continued, "h", "left").select("h", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("c", F.lit(0)).alias("c"))
