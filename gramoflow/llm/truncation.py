@@ -34,7 +34,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gramoflow.operators.scale import sized_join, spread, stage
+from gramoflow.operators.scale import spread, stage
 
 ORDERS = 8
 FINAL_LETTERS = 16
@@ -46,6 +46,10 @@ KAPPA = 20.0
 FREQUENT_SHARE = 1 / 500
 #: Dots are part of an ending that the corpus has so often and in this share of the places where its last two letters stand.
 LEAST_KNOWN, KNOWN_SHARE = 3, 0.2
+#: Contexts seen less often are not kept.
+LEAST_KEPT = 20
+#: A context of this share of the endings is joined by broadcast.
+HOT_SHARE = 1 / 1000
 LEAST_FREQUENT = 5
 #: Bits of the bitmap (a power of two, 2 MB).
 BITMAP_BITS = 1 << 24
@@ -245,7 +249,11 @@ def scores(documents: DataFrame) -> DataFrame:
 
     ends = stage(docs.mapInPandas(finals, "doc_id bigint, lang string, source string, full array<bigint>, bare array<bigint>, ending bigint, dots int"), "ends")
     ended = ends.groupBy("ending").agg(F.first("full").alias("full")).select(F.explode("full").alias("h")).filter("h <> 0").groupBy("h").agg(F.count("*").alias("e"))
-    needed = ends.select(F.explode(F.array_distinct(F.concat("full", "bare"))).alias("h")).filter("h <> 0").distinct()
+    # Texts with the same contexts are judged once.
+    ends = ends.withColumn("g", F.xxhash64("full", "bare", "dots"))
+    kinds = ends.groupBy("g").agg(F.first("full").alias("full"), F.first("bare").alias("bare"), F.first("dots").alias("dots"))
+    slots = kinds.select("g", F.posexplode(F.concat("full", "bare")).alias("i", "h")).filter("h <> 0")
+    needed = stage(slots.groupBy("h").agg(F.count("*").alias("n")), "needed")
     slot = F.pmod("h", F.lit(BITMAP_BITS)) + 1
     bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
     for r in needed.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect():  # BITMAP_BITS / 32768 rows of 4 KB
@@ -284,26 +292,31 @@ def scores(documents: DataFrame) -> DataFrame:
             yield pd.DataFrame({"h": h, "c": n})
 
     continued = docs.select("text").mapInPandas(goes_on, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
-    counts = needed.join(ended, "h", "left").join(continued, "h", "left").select("h", F.coalesce("e", F.lit(0)).alias("e"), F.coalesce("c", F.lit(0)).alias("c"))
-    counts = stage(counts, "counts")
-    slots = ends.select("doc_id", "lang", "source", "dots", F.posexplode(F.concat("full", "bare")).alias("i", "h")).filter("h <> 0")
-    joined = sized_join(slots, counts, ["h"])
-    by_doc = joined.groupBy("doc_id").agg(F.first("lang").alias("lang"), F.first("source").alias("source"), F.max("dots").alias("dots"), F.collect_set(F.struct("i", "e", "c")).alias("x"))
+    e, c = F.coalesce("e", F.lit(0)), F.coalesce("c", F.lit(0))
+    # What is too rare to decide anything is left out; it counts as never seen.
+    counts = stage(needed.join(ended, "h", "left").join(continued, "h", "left").select("h", "n", e.alias("e"), c.alias("c")).filter((e + c >= LEAST_KEPT) | (e > LEAST_KNOWN)), "counts")
+    # A context of many endings is joined by broadcast: there are at most 4 * ORDERS / HOT_SHARE of them. The others are spread evenly.
+    hot = F.col("n") >= max(LEAST_GROUP, math.ceil(kinds.count() * HOT_SHARE))
+    often = F.broadcast(counts.filter(hot).drop("n"))
+    joined = slots.join(often, "h").unionByName(slots.join(often.select("h"), "h", "left_anti").join(counts.filter(~hot).drop("n"), "h"))
+    by_kind = joined.groupBy("g").agg(F.collect_list(F.struct("i", "e", "c")).alias("x"))
 
     @F.pandas_udf("double")
-    def score(xs: pd.Series, dots: pd.Series) -> pd.Series:
-        return pd.Series([log_odds({r["i"]: (r["e"], r["c"]) for r in x}, n) for x, n in zip(xs, dots, strict=True)], dtype=float)
+    def score(xs: pd.Series, dots: pd.Series, bare: pd.Series) -> pd.Series:
+        return pd.Series([log_odds({r["i"]: (r["e"], r["c"]) for r in x}, n, b) for x, n, b in zip(xs, dots, bare, strict=True)], dtype=float)
 
-    return by_doc.select("doc_id", "lang", "source", score("x", "dots").alias("score"))
+    scored = kinds.select("g", "dots", (F.size("bare") > 0).alias("cut")).join(by_kind, "g", "left").select("g", score(F.coalesce("x", F.array().cast("array<struct<i:int,e:bigint,c:bigint>>")), "dots", "cut").alias("score"))
+    docs_of = ends.groupBy("doc_id").agg(F.min(F.struct("g", "lang", "source")).alias("d")).select("doc_id", "d.*")
+    return docs_of.join(scored, "g").select("doc_id", "lang", "source", "score")  # g can be hot on the left only, which adaptive execution splits
 
 
-def log_odds(counts: dict[int, tuple[int, int]], dots: int = 0) -> float:
+def log_odds(counts: dict[int, tuple[int, int]], dots: int, bare: bool) -> float:
     """From (ends, continuations) by place: 0.. the text's contexts by chain and order, 2 * ORDERS.. those without leavings.
 
     dots: letters of the leavings, if they are dots. They belong to the text where the two letters before them usually
     have such dots behind them."""
     offset, own = 0, 1
-    if any(i >= 2 * ORDERS for i in counts):
+    if bare:
         offset, own = 2 * ORDERS, 0
         if 0 < dots <= ORDERS - 2:
             with_dots = max(0, counts.get(dots + 1, (0, 0))[0] - 1)
@@ -313,9 +326,9 @@ def log_odds(counts: dict[int, tuple[int, int]], dots: int = 0) -> float:
     best: tuple[int, int, float] | None = None
     for alt in (0, 1):
         base = counts.get(offset + alt * ORDERS)
-        if base is None:
+        if base is None and (alt or best is not None):
             continue
-        e, c = max(0, base[0] - own), base[1]
+        e, c = (max(0, base[0] - own), base[1]) if base else (0, 0)
         prior = (e + KAPPA * 1e-3) / (e + c + KAPPA)
         found = (1, -alt, prior)
         for k in range(2, ORDERS + 1):
