@@ -1,7 +1,7 @@
 """Queries of the operator families over the test tables, each beside its SQL.
 
-Comments name the operators of the survey. All of them run over whole tables; a limit stands only where paging or a top-k
-is the operator itself.
+Comments name the operators of the survey. A limit stands where paging or a top-k is the operator itself. Queries that
+filter their input, as their SQL does, say so; those named _whole are the same operators over whole tables.
 """
 
 from __future__ import annotations
@@ -433,9 +433,19 @@ def q_json_rank_join(spark: SparkSession, d: str) -> DataFrame:  # JOI-01, JOI-1
 
 @query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber <= 2), x AS (SELECT DISTINCT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey)
 SELECT c_custkey, count(DISTINCT l_partkey) AS parts FROM x JOIN t ON t.l_orderkey = x.o_orderkey GROUP BY c_custkey""")
-def q_bridge_join(spark: SparkSession, d: str) -> DataFrame:  # JOI-01, JOI-18
+def q_bridge_join(spark: SparkSession, d: str) -> DataFrame:  # JOI-01, JOI-18: the first two lines of each order; q_bridge_join_whole has all
+    return _parts_bought(spark, d, "l_linenumber <= 2")
+
+
+@query("""WITH x AS (SELECT DISTINCT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey)
+SELECT c_custkey, count(DISTINCT l_partkey) AS parts FROM x JOIN lineitem ON l_orderkey = x.o_orderkey GROUP BY c_custkey""")
+def q_bridge_join_whole(spark: SparkSession, d: str) -> DataFrame:  # JOI-01, JOI-18
+    return _parts_bought(spark, d)
+
+
+def _parts_bought(spark: SparkSession, d: str, lines: str = "true") -> DataFrame:
     x = table(spark, d, "customer").select("c_custkey").join(table(spark, d, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey")), "c_custkey").distinct()
-    t = table(spark, d, "lineitem").filter("l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
+    t = table(spark, d, "lineitem").filter(lines).select(F.col("l_orderkey").alias("o_orderkey"), "l_partkey")
     return x.join(t, "o_orderkey").groupBy("c_custkey").agg(F.count_distinct("l_partkey").alias("parts"))
 
 
@@ -508,9 +518,18 @@ def q_like_filter(spark: SparkSession, d: str) -> DataFrame:  # FLT-05
 
 
 @query("WITH w AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS part, 'Brand#' || (c_custkey % 9) AS brand FROM customer WHERE c_custkey % 10 = 0) SELECT c_custkey, count(*) AS n, min(p_partkey) AS first_part FROM w JOIN part ON CASE WHEN w.part IS NULL THEN p_brand = w.brand ELSE p_partkey = w.part END GROUP BY c_custkey")
-def q_conditional_join(spark: SparkSession, d: str) -> DataFrame:  # FLT-12, QRY-18
+def q_conditional_join(spark: SparkSession, d: str) -> DataFrame:  # FLT-12, QRY-18: every tenth customer; q_conditional_join_whole has all
+    return _either_part(spark, d, "c_custkey % 10 = 0")
+
+
+@query("WITH w AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS part, 'Brand#' || (c_custkey % 9) AS brand FROM customer) SELECT c_custkey, count(*) AS n, min(p_partkey) AS first_part FROM w JOIN part ON CASE WHEN w.part IS NULL THEN p_brand = w.brand ELSE p_partkey = w.part END GROUP BY c_custkey")
+def q_conditional_join_whole(spark: SparkSession, d: str) -> DataFrame:  # FLT-12, QRY-18
+    return _either_part(spark, d)
+
+
+def _either_part(spark: SparkSession, d: str, customers: str = "true") -> DataFrame:
     k = F.col("c_custkey")
-    w = table(spark, d, "customer").filter("c_custkey % 10 = 0").select("c_custkey", F.when(k % 2 == 0, k).alias("part"), F.concat(F.lit("Brand#"), (k % 9).cast("string")).alias("brand"))
+    w = table(spark, d, "customer").filter(customers).select("c_custkey", F.when(k % 2 == 0, k).alias("part"), F.concat(F.lit("Brand#"), (k % 9).cast("string")).alias("brand"))
     j = relational.either_join(w, table(spark, d, "part"), ("part", "p_partkey"), ("brand", "p_brand"))
     return j.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
 
