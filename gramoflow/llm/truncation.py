@@ -46,7 +46,7 @@ KAPPA = 20.0
 FREQUENT_SHARE = 1 / 500
 #: Dots are part of an ending that the corpus has so often and in this share of the places where its last two letters stand.
 LEAST_KNOWN, KNOWN_SHARE = 3, 0.2
-#: Contexts seen less often are not kept.
+#: Longer contexts seen less often are not kept.
 LEAST_KEPT = 20
 #: A context of this share of the endings is joined by broadcast.
 HOT_SHARE = 1 / 1000
@@ -253,7 +253,9 @@ def scores(documents: DataFrame) -> DataFrame:
     ends = ends.withColumn("g", F.xxhash64("full", "bare", "dots"))
     kinds = ends.groupBy("g").agg(F.first("full").alias("full"), F.first("bare").alias("bare"), F.first("dots").alias("dots"))
     slots = kinds.select("g", F.posexplode(F.concat("full", "bare")).alias("i", "h")).filter("h <> 0")
-    needed = stage(slots.groupBy("h").agg(F.count("*").alias("n")), "needed")
+    # The last letter's context of either chain decides at any count, and the last two letters' decides on dots.
+    deciding = (F.col("i") % ORDERS == 0) | (F.col("i") == 2 * ORDERS + 1)
+    needed = stage(slots.groupBy("h").agg(F.count("*").alias("n"), F.max(deciding).alias("deciding")), "needed")
     slot = F.pmod("h", F.lit(BITMAP_BITS)) + 1
     bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)
     for r in needed.groupBy(F.bitmap_bucket_number(slot).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("m")).collect():  # BITMAP_BITS / 32768 rows of 4 KB
@@ -293,8 +295,8 @@ def scores(documents: DataFrame) -> DataFrame:
 
     continued = docs.select("text").mapInPandas(goes_on, "h bigint, c bigint").groupBy("h").agg(F.sum("c").alias("c"))
     e, c = F.coalesce("e", F.lit(0)), F.coalesce("c", F.lit(0))
-    # What is too rare to decide anything is left out; it counts as never seen.
-    counts = stage(needed.join(ended, "h", "left").join(continued, "h", "left").select("h", "n", e.alias("e"), c.alias("c")).filter((e + c >= LEAST_KEPT) | (e > LEAST_KNOWN)), "counts")
+    # A longer context needs MIN_COUNT to decide, so rare ones are left out.
+    counts = stage(needed.join(ended, "h", "left").join(continued, "h", "left").select("h", "n", "deciding", e.alias("e"), c.alias("c")).filter((e + c >= LEAST_KEPT) | (e > LEAST_KNOWN) | F.col("deciding")).drop("deciding"), "counts")
     # A context of many endings is joined by broadcast: there are at most 4 * ORDERS / HOT_SHARE of them. The others are spread evenly.
     hot = F.col("n") >= max(LEAST_GROUP, math.ceil(kinds.count() * HOT_SHARE))
     often = F.broadcast(counts.filter(hot).drop("n"))

@@ -1,3 +1,4 @@
+import math
 import random
 
 from gramoflow.llm import truncation as tr
@@ -54,3 +55,13 @@ def test_counts_equal_brute_force():
     assert total[ends("hu")[0]] == sum(len(w) - 1 for w in ("the", "tape", "hums", "the", "tape", "then"))
     assert total[ends("the tape hums")[tr.ORDERS + 2]] == 3  # by case, behind two words: only inside "hums"
     assert total[ends("the x")[tr.ORDERS + 1]] == 4 + 3  # by case, behind "the": inside "tape" twice, its end once
+
+
+def test_rare_final_signs_count(spark):
+    """A sign that ends two texts and goes on in none speaks for an end, however rare it is."""
+    texts = [f"the {a} of {b} is {c}." for a in ("sound", "song", "tape") for b in ("may", "june", "july") for c in ("good", "loud", "long", "slow")] + ["what a fine long song ☂", "so slow and loud a tape ☂"]
+    docs = spark.createDataFrame([(i, "en", "w", t) for i, t in enumerate(texts)], "doc_id bigint, lang string, source string, text string")
+    got = {r.doc_id: r.score for r in tr.scores(docs).collect()}
+    p = (1 + tr.KAPPA * 1e-3) / (1 + tr.KAPPA)  # the other text's ending
+    for i in (len(texts) - 2, len(texts) - 1):
+        assert abs(got[i] - math.log(p / (1 - p))) < 1e-9
