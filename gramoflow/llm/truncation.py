@@ -11,7 +11,8 @@ signatures and hashtags.
 * The longest context of up to ORDERS letters that the corpus holds MIN_COUNT times decides, smoothed by the last letter's.
 * What a cut leaves behind the last letter (an open tag or entity, half a character, dots put in place of the rest) is
   set aside first, unless the dots belong to a known ending.
-* The log-odds of a language and source fall into two heaps; their threshold is the emptiest place between them.
+* The log-odds of a language and source fall into two heaps; their threshold is the emptiest place between them,
+  where the language and the corpus count along with a weight of POOLED texts each, at any size of the group.
 
 All documents are counted, in whole. Only counts of contexts that end some text are kept: a bitmap of fixed size tells
 them apart before the shuffle, and an exact join after it.
@@ -31,7 +32,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramoflow.operators.scale import spread, stage
@@ -53,9 +54,13 @@ HOT_SHARE = 1 / 1000
 LEAST_FREQUENT = 5
 #: Bits of the bitmap (a power of two, 2 MB).
 BITMAP_BITS = 1 << 24
-#: Log-odds between the heaps where a group has too few texts, and the range in which the emptiest place is looked for.
+#: Usual log-odds between the heaps, and the range in which the emptiest place is looked for.
 THRESHOLD = -5.0
-RANGE, BIN, LEAST_GROUP = (-6.5, -4.0), 0.25, 300
+RANGE, BIN = (-6.5, -4.0), 0.25
+#: Texts of the language, and of the corpus, that count along with a group's own.
+POOLED = 300
+#: A context of fewer endings is not joined by broadcast.
+LEAST_HOT = 300
 
 _TOKEN = re.compile(r"[^\W\d_]+|\d|[^\w\s]|_|\n")
 _REST = re.compile(r"(?:&#?\w{0,8}|<[^<>]{0,40}|�|\.{2,}|…|\s)+\Z")
@@ -298,7 +303,7 @@ def scores(documents: DataFrame) -> DataFrame:
     # A longer context needs MIN_COUNT to decide, so rare ones are left out.
     counts = stage(needed.join(ended, "h", "left").join(continued, "h", "left").select("h", "n", "deciding", e.alias("e"), c.alias("c")).filter((e + c >= LEAST_KEPT) | (e > LEAST_KNOWN) | F.col("deciding")).drop("deciding"), "counts")
     # A context of many endings is joined by broadcast: there are at most 4 * ORDERS / HOT_SHARE of them. The others are spread evenly.
-    hot = F.col("n") >= max(LEAST_GROUP, math.ceil(kinds.count() * HOT_SHARE))
+    hot = F.col("n") >= max(LEAST_HOT, math.ceil(kinds.count() * HOT_SHARE))
     often = F.broadcast(counts.filter(hot).drop("n"))
     joined = slots.join(often, "h").unionByName(slots.join(often.select("h"), "h", "left_anti").join(counts.filter(~hot).drop("n"), "h"))
     by_kind = joined.groupBy("g").agg(F.collect_list(F.struct("i", "e", "c")).alias("x"))
@@ -350,18 +355,28 @@ def log_odds(counts: dict[int, tuple[int, int]], dots: int, bare: bool) -> float
 
 
 def thresholds(scored: DataFrame) -> DataFrame:
-    """lang, source, least: the emptiest place between the heaps of each group, from a histogram of a few bins."""
+    """lang, source, least: the emptiest place between the heaps of each group, from a histogram of a few bins.
+
+    Groups of any size are judged alike: the fewer texts one has, the more the texts of its language and of the corpus say."""
     lo, hi = RANGE
     bins = round((hi - lo) / BIN)
     b = F.floor((F.col("score") - lo) / BIN).cast("int")
     hist = scored.groupBy("lang", "source", F.greatest(F.lit(-1), F.least(F.lit(bins), b)).alias("b")).agg(F.count("*").alias("n"))
     inner = [F.sum(F.when(F.col("b") == i, F.col("n")).otherwise(0)).alias(f"n{i}") for i in range(bins)]
     wide = hist.groupBy("lang", "source").agg(F.sum("n").alias("total"), *inner)
+    # Each histogram is filled up with POOLED texts spread as in the next larger group: source and language, language, all.
+    whole, language = Window.partitionBy(), Window.partitionBy("lang")  # one row a group: their number is that of languages and sources
+    share = {}
+    for i in range(bins):
+        n = F.col(f"n{i}")
+        of_all = F.sum(n).over(whole) / F.sum("total").over(whole)
+        of_language = (F.sum(n).over(language) + POOLED * of_all) / (F.sum("total").over(language) + POOLED)
+        share[f"s{i}"] = F.round((n + POOLED * of_language) / (F.col("total") + POOLED), 9)
+    wide = wide.withColumns(share)
     middle = (THRESHOLD - lo) / BIN
     # Three neighbouring bins with the fewest texts; of equal ones the one next to the usual threshold.
-    places = [F.struct((F.col(f"n{i - 1}") + F.col(f"n{i}") + F.col(f"n{i + 1}")).alias("n"), F.lit(abs(i + 0.5 - middle)).alias("off"), F.lit(lo + (i + 0.5) * BIN).alias("at")) for i in range(1, bins - 1)]
-    least = F.when(F.col("total") >= LEAST_GROUP, F.array_min(F.array(*places))["at"]).otherwise(F.lit(THRESHOLD))
-    return wide.select("lang", "source", least.alias("least"), "total")
+    places = [F.struct(F.round(F.col(f"s{i - 1}") + F.col(f"s{i}") + F.col(f"s{i + 1}"), 9).alias("n"), F.lit(abs(i + 0.5 - middle)).alias("off"), F.lit(lo + (i + 0.5) * BIN).alias("at")) for i in range(1, bins - 1)]
+    return wide.select("lang", "source", F.array_min(F.array(*places))["at"].alias("least"), "total")
 
 
 def truncated(documents: DataFrame) -> DataFrame:

@@ -65,3 +65,13 @@ def test_rare_final_signs_count(spark):
     p = (1 + tr.KAPPA * 1e-3) / (1 + tr.KAPPA)  # the other text's ending
     for i in (len(texts) - 2, len(texts) - 1):
         assert abs(got[i] - math.log(p / (1 - p))) < 1e-9
+
+
+def test_thresholds_do_not_switch_with_size(spark):
+    """A group just below and one just above 300 texts, of the same histogram, have the same threshold, and a tiny one its language's."""
+    heaps = [-6.3, -6.1, -5.9, -5.6, -5.4, -5.2, -4.9, -4.1]  # empty between -4.75 and -4.25
+    rows = [("en", f"s{n}", heaps[i % len(heaps)]) for n in (296, 304, 1200) for i in range(n)] + [("en", "tiny", -9.0), (None, "none", -9.0)]
+    got = {(r.lang, r.source): r.least for r in tr.thresholds(spark.createDataFrame(rows, "lang string, source string, score double")).collect()}
+    assert set(got.values()) == {-4.375} or set(got.values()) == {-4.625}
+    assert len(got) == 5
+    assert tr.thresholds(spark.createDataFrame([], "lang string, source string, score double")).count() == 0
