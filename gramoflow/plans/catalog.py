@@ -313,6 +313,47 @@ def q_missing(spark: SparkSession, d: str) -> DataFrame:  # SET-05
     return reconcile.missing(known, reconcile.multiset(rows, known))
 
 
+_ALL_COPIES = """b AS (SELECT library_id, batch_date, lag(batch_date) OVER (PARTITION BY library_id ORDER BY batch_date) AS before FROM (SELECT DISTINCT library_id, batch_date FROM parsed_rows)),
+p AS (SELECT DISTINCT b.library_id, b.batch_date, b.before, row_number, concat_ws('|', b.library_id, identity_key) AS k, content_hash AS h FROM parsed_rows JOIN b ON b.library_id = parsed_rows.library_id AND b.batch_date = parsed_rows.batch_date),
+n AS (SELECT *, library_id * 1000000 + row_number AS id, row_number() OVER (PARTITION BY batch_date, k, h ORDER BY library_id * 1000000 + row_number) AS rn FROM p),
+m AS (SELECT r.batch_date, r.id AS row_number, r.k, r.before, e.id AS entry_id FROM n r LEFT JOIN n e ON e.batch_date = r.before AND e.k = r.k AND e.h = r.h AND e.rn = r.rn),
+left_over AS (SELECT e.k, f.batch_date, e.id FROM n e JOIN b f ON f.library_id = e.library_id AND f.before = e.batch_date WHERE NOT EXISTS (SELECT 1 FROM m WHERE m.batch_date = f.batch_date AND m.entry_id = e.id)),
+spare AS (SELECT k, batch_date, count(*) AS n FROM left_over GROUP BY ALL)"""
+
+
+def _all_copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The rows of all batches, and as known ones those of the library's batch before. Numbers and keys hold the batch's
+    place, as the copies of one row come again in each batch."""
+    p = table(spark, d, "parsed_rows").select("library_id", "batch_date", "row_number", "identity_key", "content_hash").distinct()
+    b = p.select("library_id", "batch_date").distinct()
+    b = b.withColumn("place", F.row_number().over(Window.partitionBy("library_id").orderBy("batch_date")).cast("bigint"))
+    p = p.join(b, ["library_id", "batch_date"]).withColumn("id", F.col("library_id") * 1000000 + F.col("row_number"))
+    at = lambda place: [(place * _PLACE + F.col("id")).alias("id"), F.concat_ws("|", place, "library_id", "identity_key").alias("identity_key"), "content_hash"]
+    known = p.join(b.select("library_id", (F.col("place") - 1).alias("place")), ["library_id", "place"], "left_semi").select(*at(F.col("place") + 1)).withColumnRenamed("id", "entry_id")
+    return p.select("library_id", "batch_date", *at(F.col("place"))).withColumnRenamed("id", "row_number").withColumn("invalid", F.lit(False)), known
+
+
+#: Above any library_id * 1000000 + row_number.
+_PLACE = 10**13
+
+
+@query(f"WITH {_ALL_COPIES} SELECT m.batch_date, row_number, CASE WHEN entry_id IS NOT NULL THEN 'existing' WHEN n IS NOT NULL THEN 'ambiguous' ELSE 'new' END AS class, entry_id, CASE WHEN entry_id IS NULL THEN coalesce(n, 0) ELSE 0 END AS n_candidates FROM m LEFT JOIN spare ON spare.k = m.k AND spare.batch_date = m.batch_date")
+def q_multiset_reconcile_whole(spark: SparkSession, d: str) -> DataFrame:  # REC-01, JOI-14: each batch against the library's one before
+    rows, known = _all_copies(spark, d)
+    out = reconcile.multiset(rows, known).join(rows.select("row_number", "batch_date"), "row_number")
+    return out.select("batch_date", (F.col("row_number") % _PLACE).alias("row_number"), "class", (F.col("entry_id") % _PLACE).alias("entry_id"), F.size("candidates").cast("bigint").alias("n_candidates"))
+
+
+@query(f"WITH {_ALL_COPIES} SELECT batch_date, id AS entry_id FROM left_over")
+def q_missing_whole(spark: SparkSession, d: str) -> DataFrame:  # SET-05: what each batch misses of the library's one before
+    rows, known = _all_copies(spark, d)
+    gone = reconcile.missing(known, reconcile.multiset(rows, known))
+    place = F.floor(F.col("entry_id") / _PLACE).cast("bigint")
+    b = rows.select(F.floor(F.col("row_number") / _PLACE).cast("bigint").alias("place"), "library_id", "batch_date").distinct()
+    gone = gone.select(place.alias("place"), F.floor((F.col("entry_id") % _PLACE) / 1000000).cast("bigint").alias("library_id"), (F.col("entry_id") % _PLACE).alias("entry_id"))
+    return gone.join(b, ["place", "library_id"]).select("batch_date", "entry_id")
+
+
 def _hinted(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     c = table(spark, d, "customer").select("c_custkey", "c_name", "c_mktsegment")
     known = c.filter("c_custkey % 10 <> 0").select(F.col("c_custkey").alias("entry_id"), F.col("c_custkey").cast("string").alias("external_id"), F.col("c_mktsegment").alias("content_hash"), F.array(F.concat(F.lit("n:"), "c_name"), F.concat(F.lit("k:"), F.col("c_custkey").cast("string"))).alias("hints"))
@@ -483,11 +524,16 @@ def q_label_tree(spark: SparkSession, d: str) -> DataFrame:  # QRY-08, JOI-07
 
 
 @query("SELECT DISTINCT discogs_artist_id, owner_id, coalesce(nullif(trim(role), ''), 'Main artist') AS role FROM credits WHERE owner_type = 'release' AND discogs_artist_id % 100 = 0")
-def q_artist_releases(spark: SparkSession, d: str) -> DataFrame:  # QRY-07: asked for the artists whose id is divisible by 100
+def q_artist_releases(spark: SparkSession, d: str) -> DataFrame:  # QRY-07: asked for the artists whose id is divisible by 100; q_artist_releases_whole has all
     c = table(spark, d, "credits").filter("owner_type = 'release' AND discogs_artist_id % 100 = 0")
     return entities.contributions(c, "discogs_artist_id", "owner_id", "role")
 
 
+@query("SELECT DISTINCT discogs_artist_id, owner_id, coalesce(nullif(trim(role), ''), 'Main artist') AS role FROM credits WHERE owner_type = 'release' AND discogs_artist_id IS NOT NULL")
+def q_artist_releases_whole(spark: SparkSession, d: str) -> DataFrame:  # QRY-07
+    return entities.contributions(table(spark, d, "credits").filter("owner_type = 'release'"), "discogs_artist_id", "owner_id", "role")
+
+
 @query(f"""WITH {_LIVE}, p AS (SELECT owner_id, string_agg(n, ' ' ORDER BY n) AS people FROM (SELECT DISTINCT owner_id, coalesce(nullif(anv, ''), name) AS n FROM credits WHERE owner_type = 'release') WHERE n IS NOT NULL GROUP BY owner_id),
 k AS (SELECT discogs_id, string_agg(DISTINCT c, ' ' ORDER BY c) AS codes FROM (SELECT discogs_id, catalog_number AS c FROM live WHERE catalog_number <> 'none' UNION SELECT discogs_id, regexp_replace(upper(strip_accents(catalog_number)), '[^\\p{{L}}\\p{{N}}]', '', 'g') FROM live WHERE catalog_number <> 'none') WHERE c <> '' GROUP BY discogs_id)
 SELECT live.discogs_id AS ext_id, title, coalesce(people, '') AS people, coalesce(codes, '') AS codes, concat_ws(' ', label_name, CASE WHEN regexp_matches(released, '^[0-9]{{4}}') AND CAST(substr(released, 1, 4) AS INT) BETWEEN 1850 AND 2100 THEN substr(released, 1, 4) END, country, format_name) AS extra
