@@ -106,15 +106,20 @@ def changed_fields(old: DataFrame, new: DataFrame, key: str, fields: list[str])
 
 
 def paths(nodes: DataFrame, key: str, parent: str, name: str, separator: str = " / ", deepest: int = 32) -> DataFrame:
-    """key, path, depth from the roots down, one join a level; cycles are never reached from a root (JOI-07, QRY-26)."""
+    """key, path, depth from the roots down, one join a level; cycles are never reached from a root (JOI-07, QRY-26).
+
+    Nodes below the deepest level are an error."""
     level = nodes.filter(F.col(parent).isNull()).select(key, F.col(name).alias("path"), F.lit(0).alias("depth"))
     out = level
     for d in range(1, deepest + 1):
         above = level.select(F.col(key).alias(parent), F.col("path").alias("_p"))
         level = nodes.join(above, parent).select(key, F.concat("_p", F.lit(separator), name).alias("path"), F.lit(d).alias("depth"))
         if level.isEmpty():
-            break
+            return out
         out = out.unionByName(level)
+    below = nodes.join(level.select(F.col(key).alias(parent)), parent)
+    if not below.isEmpty():
+        raise ValueError(f"the tree has more than {deepest} levels below its roots")
     return out
 
 

@@ -411,7 +411,7 @@ def q_census(spark: SparkSession, d: str) -> DataFrame:  # QRY-27, AGG-18
     t = table(spark, d, "xnode_records").select("rec_id", "node_json").distinct()
     level = t.select("rec_id", F.get_json_object("node_json", "$.name").alias("path"), F.col("node_json").alias("node"))
     out = level
-    for _ in range(32):
+    while True:  # until a level is empty
         kids = F.get_json_object("node", "$.children")
         listed = F.coalesce(F.from_json(F.when(kids.startswith("["), kids), "array<string>"), F.when(kids.startswith("{"), F.array(kids)))
         level = level.select("rec_id", "path", F.explode(listed).alias("node")).filter("startswith(node, '{')").select("rec_id", F.concat("path", F.lit("/"), F.get_json_object("node", "$.name")).alias("path"), "node")

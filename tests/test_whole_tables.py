@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pytest
+
+from gramoflow.operators import relational
 from gramoflow.plans import catalog
 
 
@@ -40,3 +43,18 @@ def test_each_batch_meets_the_library_s_batch_before(spark, tmp_path):
     first, second = 1_000_000, 2_000_000
     assert got == {("01", first + 1, "new", None, 0), ("02", first + 1, "existing", first + 1, 0), ("02", first + 2, "new", None, 0), ("03", first + 1, "ambiguous", None, 1), ("01", second + 1, "new", None, 0), ("03", second + 5, "existing", second + 1, 0)}
     assert {tuple(r) for r in catalog.QUERIES["q_missing_whole"](spark, d).collect()} == {("03", first + 1), ("03", first + 2)}
+
+
+def test_census_takes_nodes_of_any_depth(spark, tmp_path):
+    node = '{"name":"n","text":"t"}'
+    for _ in range(34):
+        node = f'{{"name":"n","text":"t","children":[{node}]}}'
+    d = tables(spark, tmp_path, xnode_records=([(1, node)], "rec_id bigint, node_json string"))
+    assert catalog.QUERIES["q_census"](spark, d).count() == 35
+
+
+def test_paths_raise_below_the_deepest_level(spark):
+    nodes = spark.createDataFrame([(i, i - 1 if i else None, str(i)) for i in range(5)], "k int, p int, name string")
+    assert relational.paths(nodes, "k", "p", "name", deepest=4).count() == 5
+    with pytest.raises(ValueError):
+        relational.paths(nodes, "k", "p", "name", deepest=3)
