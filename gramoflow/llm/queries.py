@@ -47,6 +47,10 @@ def p8_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_rates(p8_containers(spark, d), table(spark, d, "pack_specs"))
 
 
+def p8_search(spark: SparkSession, d: str) -> DataFrame:
+    return packing.search_report(packing.token_counts(table(spark, d, "documents")), table(spark, d, "pack_specs"))
+
+
 def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return leaks.leaked_items(table(spark, d, "documents"), table(spark, d, "eval_items"))
 
@@ -64,7 +68,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p7_found, p8_containers, p8_fill, p9_found, p9_spans, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p4_found, p7_found, p8_containers, p8_fill, p8_search, p9_found, p9_spans, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
