@@ -135,21 +135,21 @@ def fillings(room: int, counts: dict[int, int], falling: list[int]) -> tuple[lis
     steps = 0
     every = True
     first = _count_over(falling, room)
-    stack: list[tuple[int, int, tuple[int, ...]]] = [(room, first, ())]
-    while stack and steps < STEPS:
-        left, at, chosen = stack.pop()
+    branches: list[tuple[int, int, tuple[int, ...]]] = [(room, first, ())]
+    while branches and steps < STEPS:
+        left, at, chosen = branches.pop()
         steps += 1
         while at < len(falling) and (falling[at] > left or counts[falling[at]] - chosen.count(falling[at]) <= 0):
             at += 1
         if at == len(falling) or left == 0:
             found.append((room - left, chosen))
             if left == 0:
-                every = every and not stack
+                every = every and not branches
                 break
             continue
-        stack.append((left, at + 1, chosen))  # without this size
-        stack.append((left - falling[at], at, (*chosen, falling[at])))
-    every = every and not stack
+        branches.append((left, at + 1, chosen))  # without this size
+        branches.append((left - falling[at], at, (*chosen, falling[at])))
+    every = every and not branches
     found.sort(key=lambda f: (-f[0], len(f[1]), tuple(-x for x in f[1])))
     out: list[tuple[int, ...]] = []
     for _, f in found:
