@@ -32,11 +32,19 @@ def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.map_rows(long, stage(values, "values"), table(spark, d, "canon_values"))
 
 
-def p7_found(spark: SparkSession, d: str) -> DataFrame:
+def _linked(spark: SparkSession, d: str) -> DataFrame:
     credits, rows = table(spark, d, "credits"), table(spark, d, "collection_rows")
     texts = names.spellings([(credits, "name", "discogs_artist_id"), (credits, "anv", None), (rows, "artist", None)])
     said = credits.filter("name <> '' AND anv <> '' AND name <> anv").select("name", "anv").distinct()
-    return names.pairs(names.links(texts, said))
+    return names.links(texts, said)
+
+
+def p7_found(spark: SparkSession, d: str) -> DataFrame:
+    return names.pairs(_linked(spark, d))
+
+
+def p7_members(spark: SparkSession, d: str) -> DataFrame:
+    return names.members(_linked(spark, d))
 
 
 def p8_containers(spark: SparkSession, d: str) -> DataFrame:
@@ -68,7 +76,7 @@ def p10_rates(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (p4_found, p7_found, p8_containers, p8_fill, p8_search, p9_found, p9_spans, p10_found, p10_rates)}
+    return {f.__name__: f for f in (p4_found, p7_found, p7_members, p8_containers, p8_fill, p8_search, p9_found, p9_spans, p10_found, p10_rates)}
 
 
 def oracle_sql() -> dict[str, str]:
