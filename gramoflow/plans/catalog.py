@@ -1,7 +1,7 @@
 """Queries of the operator families over the test tables, each beside its SQL.
 
 Comments name the operators of the survey. A limit stands where paging or a top-k is the operator itself. Queries that
-filter their input, as their SQL does, say so; those named _whole are the same operators over whole tables.
+filter their input ask for certain ids or owners.
 """
 
 from __future__ import annotations
@@ -224,10 +224,10 @@ def q_or_join(spark: SparkSession, d: str) -> DataFrame:  # JOI-06: one equi joi
     return h.join(i, ["item_type", "item_id"]).select("event_id", "item_type", "name")
 
 
-@query("SELECT DISTINCT artist, nullif(trim(regexp_replace(regexp_replace(lower(strip_accents(artist)), '\\s+\\([0-9]+\\)\\s*$', ''), '[^\\p{L}\\p{N}]+', ' ', 'g')), '') AS name, trim(regexp_replace(artist, '\\s+\\([0-9]+\\)$', '')) AS shown FROM collection_rows WHERE artist IS NOT NULL AND NOT regexp_matches(artist, '\\([0-9]+\\)\\s*[,&/]')")
+@query("SELECT DISTINCT artist, nullif(trim(regexp_replace(regexp_replace(lower(strip_accents(artist)), '\\s+\\([0-9]+\\)\\s*$', ''), '[^\\p{L}\\p{N}]+', ' ', 'g')), '') AS name, trim(regexp_replace(artist, '\\s+\\([0-9]+\\)(\\s*[,&/]|$)', '\\1', 'g')) AS shown, trim(regexp_replace(artist, '\\s+', ' ', 'g')) AS squeezed FROM collection_rows WHERE artist IS NOT NULL")
 def q_normalize(spark: SparkSession, d: str) -> DataFrame:  # SCL-01, SCL-08, SCL-33
-    a = table(spark, d, "collection_rows").filter("artist IS NOT NULL").select("artist").distinct().filter(~F.col("artist").rlike(r"\([0-9]+\)\s*[,&/]"))
-    return a.select("artist", text.normalize_name(F.col("artist")).alias("name"), parsing.display_artist(F.col("artist")).alias("shown"))
+    a = table(spark, d, "collection_rows").filter("artist IS NOT NULL").select("artist").distinct()
+    return a.select("artist", text.normalize_name(F.col("artist")).alias("name"), parsing.display_artist(F.col("artist")).alias("shown"), text.squeeze(F.col("artist")).alias("squeezed"))
 
 
 _TOKENS = "tok AS (SELECT doc_id, unnest(t) AS term, unnest(range(0, len(t))) AS at FROM (SELECT doc_id, list_filter(string_split_regex(lower(strip_accents(text)), '[^\\p{L}\\p{N}]+'), lambda x: x <> '') AS t FROM documents))"
@@ -290,29 +290,6 @@ def q_upsert_apply(spark: SparkSession, d: str) -> DataFrame:  # MUT-02, SNK-01
     return upsert.apply(v1, upsert.classify(v1, v2, "o_orderkey", "h", F.col("o_orderkey") % 13 == 0), "o_orderkey").drop("h")
 
 
-def _copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
-    """Two copies of each library: the newest batch as rows, the batch of 2025-05-01 as what is known."""
-    p = table(spark, d, "parsed_rows").select("library_id", "batch_date", "row_number", "identity_key", "content_hash", "external_id").distinct()
-    key = F.concat_ws("|", "library_id", "identity_key")
-    one = lambda day, n: p.filter(F.col("batch_date") == day).select((F.col("library_id") * 1_000_000 + F.col("row_number")).alias(n), key.alias("identity_key"), "content_hash", F.concat_ws("|", "library_id", "external_id").alias("external_id"))
-    return one("2025-06-01", "row_number").withColumn("invalid", F.lit(False)), one("2025-05-01", "entry_id")
-
-
-_COPIES = "p AS (SELECT DISTINCT library_id, batch_date, row_number, concat_ws('|', library_id, identity_key) AS k, content_hash AS h FROM parsed_rows), r AS (SELECT library_id * 1000000 + row_number AS id, k, h, row_number() OVER (PARTITION BY k, h ORDER BY library_id * 1000000 + row_number) AS rn FROM p WHERE batch_date = '2025-06-01'), e AS (SELECT library_id * 1000000 + row_number AS id, k, h, row_number() OVER (PARTITION BY k, h ORDER BY library_id * 1000000 + row_number) AS rn FROM p WHERE batch_date = '2025-05-01'), m AS (SELECT r.id AS row_number, r.k, e.id AS entry_id FROM r LEFT JOIN e ON e.k = r.k AND e.h = r.h AND e.rn = r.rn), spare AS (SELECT k, count(*) AS n FROM e WHERE id NOT IN (SELECT entry_id FROM m WHERE entry_id IS NOT NULL) GROUP BY k)"
-
-
-@query(f"WITH {_COPIES} SELECT row_number, CASE WHEN entry_id IS NOT NULL THEN 'existing' WHEN n IS NOT NULL THEN 'ambiguous' ELSE 'new' END AS class, entry_id, CASE WHEN entry_id IS NULL THEN coalesce(n, 0) ELSE 0 END AS n_candidates FROM m LEFT JOIN spare USING (k)")
-def q_multiset_reconcile(spark: SparkSession, d: str) -> DataFrame:  # REC-01, JOI-14
-    rows, known = _copies(spark, d)
-    return reconcile.multiset(rows, known).select("row_number", "class", "entry_id", F.size("candidates").cast("bigint").alias("n_candidates"))
-
-
-@query(f"WITH {_COPIES} SELECT id AS entry_id FROM e WHERE id NOT IN (SELECT entry_id FROM m WHERE entry_id IS NOT NULL)")
-def q_missing(spark: SparkSession, d: str) -> DataFrame:  # SET-05
-    rows, known = _copies(spark, d)
-    return reconcile.missing(known, reconcile.multiset(rows, known))
-
-
 _ALL_COPIES = """b AS (SELECT library_id, batch_date, lag(batch_date) OVER (PARTITION BY library_id ORDER BY batch_date) AS before FROM (SELECT DISTINCT library_id, batch_date FROM parsed_rows)),
 p AS (SELECT DISTINCT b.library_id, b.batch_date, b.before, row_number, concat_ws('|', b.library_id, identity_key) AS k, content_hash AS h FROM parsed_rows JOIN b ON b.library_id = parsed_rows.library_id AND b.batch_date = parsed_rows.batch_date),
 n AS (SELECT *, library_id * 1000000 + row_number AS id, row_number() OVER (PARTITION BY batch_date, k, h ORDER BY library_id * 1000000 + row_number) AS rn FROM p),
@@ -338,14 +315,14 @@ _PLACE = 10**13
 
 
 @query(f"WITH {_ALL_COPIES} SELECT m.batch_date, row_number, CASE WHEN entry_id IS NOT NULL THEN 'existing' WHEN n IS NOT NULL THEN 'ambiguous' ELSE 'new' END AS class, entry_id, CASE WHEN entry_id IS NULL THEN coalesce(n, 0) ELSE 0 END AS n_candidates FROM m LEFT JOIN spare ON spare.k = m.k AND spare.batch_date = m.batch_date")
-def q_multiset_reconcile_whole(spark: SparkSession, d: str) -> DataFrame:  # REC-01, JOI-14: each batch against the library's one before
+def q_multiset_reconcile(spark: SparkSession, d: str) -> DataFrame:  # REC-01, JOI-14: each batch against the library's one before
     rows, known = _all_copies(spark, d)
     out = reconcile.multiset(rows, known).join(rows.select("row_number", "batch_date"), "row_number")
     return out.select("batch_date", (F.col("row_number") % _PLACE).alias("row_number"), "class", (F.col("entry_id") % _PLACE).alias("entry_id"), F.size("candidates").cast("bigint").alias("n_candidates"))
 
 
 @query(f"WITH {_ALL_COPIES} SELECT batch_date, id AS entry_id FROM left_over")
-def q_missing_whole(spark: SparkSession, d: str) -> DataFrame:  # SET-05: what each batch misses of the library's one before
+def q_missing(spark: SparkSession, d: str) -> DataFrame:  # SET-05: what each batch misses of the library's one before
     rows, known = _all_copies(spark, d)
     gone = reconcile.missing(known, reconcile.multiset(rows, known))
     place = F.floor(F.col("entry_id") / _PLACE).cast("bigint")
@@ -472,15 +449,9 @@ def q_json_rank_join(spark: SparkSession, d: str) -> DataFrame:  # JOI-01, JOI-1
     return table(spark, d, "part").join(F.broadcast(ids), F.col("p_partkey") == F.col("id")).select("rank", "p_partkey", "p_name").orderBy("rank")
 
 
-@query("""WITH t AS (SELECT l_orderkey, l_linenumber, l_partkey FROM lineitem WHERE l_linenumber <= 2), x AS (SELECT DISTINCT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey)
-SELECT c_custkey, count(DISTINCT l_partkey) AS parts FROM x JOIN t ON t.l_orderkey = x.o_orderkey GROUP BY c_custkey""")
-def q_bridge_join(spark: SparkSession, d: str) -> DataFrame:  # JOI-01, JOI-18: the first two lines of each order; q_bridge_join_whole has all
-    return _parts_bought(spark, d, "l_linenumber <= 2")
-
-
 @query("""WITH x AS (SELECT DISTINCT c_custkey, o_orderkey FROM customer JOIN orders ON o_custkey = c_custkey)
 SELECT c_custkey, count(DISTINCT l_partkey) AS parts FROM x JOIN lineitem ON l_orderkey = x.o_orderkey GROUP BY c_custkey""")
-def q_bridge_join_whole(spark: SparkSession, d: str) -> DataFrame:  # JOI-01, JOI-18
+def q_bridge_join(spark: SparkSession, d: str) -> DataFrame:  # JOI-01, JOI-18
     return _parts_bought(spark, d)
 
 
@@ -490,10 +461,12 @@ def _parts_bought(spark: SparkSession, d: str, lines: str = "true") -> DataFrame
     return x.join(t, "o_orderkey").groupBy("c_custkey").agg(F.count_distinct("l_partkey").alias("parts"))
 
 
-@query("SELECT DISTINCT load_id, released, TRY_CAST(substr(released, 1, 4) AS INT) AS y, nullif(TRY_CAST(nullif(substr(released, 6, 2), '') AS INT), 0) AS m, nullif(TRY_CAST(nullif(substr(released, 9, 2), '') AS INT), 0) AS d FROM release_records WHERE regexp_matches(released, '^[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?$')")
-def q_partial_dates(spark: SparkSession, d: str) -> DataFrame:  # SCL-27
-    r = table(spark, d, "release_records").filter(F.col("released").rlike(r"\A[0-9]{4}(-[0-9]{2}(-[0-9]{2})?)?\z")).select("load_id", "released").distinct()
-    return r.withColumn("p", parsing.date_parts(F.col("released"))).select("load_id", "released", "p.y", "p.m", "p.d")
+@query("WITH r AS (SELECT DISTINCT load_id, released, '^([0-9]{4})(?:-([0-9]{2}))?(?:-([0-9]{2}))?' AS p FROM release_records), x AS (SELECT load_id, released, TRY_CAST(regexp_extract(coalesce(released, ''), p, 1) AS INT) AS y, nullif(TRY_CAST(regexp_extract(coalesce(released, ''), p, 2) AS INT), 0) AS m, nullif(TRY_CAST(regexp_extract(coalesce(released, ''), p, 3) AS INT), 0) AS d FROM r) SELECT *, CASE WHEN coalesce(y, 0) = 0 THEN NULL WHEN m IS NULL THEN CAST(y AS VARCHAR) WHEN d IS NULL THEN concat(y, '-', lpad(CAST(m AS VARCHAR), 2, '0')) ELSE concat(y, '-', lpad(CAST(m AS VARCHAR), 2, '0'), '-', lpad(CAST(d AS VARCHAR), 2, '0')) END AS joined, CASE WHEN y IS NULL THEN 'Unknown' WHEN m IS NULL OR m > 12 THEN CAST(y AS VARCHAR) WHEN d IS NULL THEN concat(monthname(make_date(2000, m, 1)), ' ', y) ELSE concat(d, ' ', monthname(make_date(2000, m, 1)), ' ', y) END AS shown FROM x")
+def q_partial_dates(spark: SparkSession, d: str) -> DataFrame:  # SCL-21, SCL-27
+    r = table(spark, d, "release_records").select("load_id", "released").distinct()
+    r = r.withColumn("p", parsing.date_parts(F.col("released"))).select("load_id", "released", "p.y", "p.m", "p.d")
+    return r.select("*", parsing.join_date(F.col("y"), F.col("m"), F.col("d")).alias("joined"), parsing.display_date(F.col("released")).alias("shown"))
+
 
 
 @query("""WITH g AS (SELECT DISTINCT row_id, format_raw, media_condition, lower(trim(coalesce(media_condition, ''))) AS c, lower(regexp_replace(trim(regexp_extract(coalesce(format_raw, ''), '^[^,+]*')), '^[0-9]+\\s*[xX×]\\s*', '')) AS f FROM collection_rows)
@@ -523,14 +496,8 @@ def q_label_tree(spark: SparkSession, d: str) -> DataFrame:  # QRY-08, JOI-07
     return tree.withColumn("children", F.array_join("children", "|"))
 
 
-@query("SELECT DISTINCT discogs_artist_id, owner_id, coalesce(nullif(trim(role), ''), 'Main artist') AS role FROM credits WHERE owner_type = 'release' AND discogs_artist_id % 100 = 0")
-def q_artist_releases(spark: SparkSession, d: str) -> DataFrame:  # QRY-07: asked for the artists whose id is divisible by 100; q_artist_releases_whole has all
-    c = table(spark, d, "credits").filter("owner_type = 'release' AND discogs_artist_id % 100 = 0")
-    return entities.contributions(c, "discogs_artist_id", "owner_id", "role")
-
-
 @query("SELECT DISTINCT discogs_artist_id, owner_id, coalesce(nullif(trim(role), ''), 'Main artist') AS role FROM credits WHERE owner_type = 'release' AND discogs_artist_id IS NOT NULL")
-def q_artist_releases_whole(spark: SparkSession, d: str) -> DataFrame:  # QRY-07
+def q_artist_releases(spark: SparkSession, d: str) -> DataFrame:  # QRY-07
     return entities.contributions(table(spark, d, "credits").filter("owner_type = 'release'"), "discogs_artist_id", "owner_id", "role")
 
 
@@ -563,13 +530,8 @@ def q_like_filter(spark: SparkSession, d: str) -> DataFrame:  # FLT-05
     return c.filter(relational.like_any("GLASS_%r", F.col("title"), F.col("notes"))).select("row_id", "title").distinct()
 
 
-@query("WITH w AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS part, 'Brand#' || (c_custkey % 9) AS brand FROM customer WHERE c_custkey % 10 = 0) SELECT c_custkey, count(*) AS n, min(p_partkey) AS first_part FROM w JOIN part ON CASE WHEN w.part IS NULL THEN p_brand = w.brand ELSE p_partkey = w.part END GROUP BY c_custkey")
-def q_conditional_join(spark: SparkSession, d: str) -> DataFrame:  # FLT-12, QRY-18: every tenth customer; q_conditional_join_whole has all
-    return _either_part(spark, d, "c_custkey % 10 = 0")
-
-
 @query("WITH w AS (SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_custkey END AS part, 'Brand#' || (c_custkey % 9) AS brand FROM customer) SELECT c_custkey, count(*) AS n, min(p_partkey) AS first_part FROM w JOIN part ON CASE WHEN w.part IS NULL THEN p_brand = w.brand ELSE p_partkey = w.part END GROUP BY c_custkey")
-def q_conditional_join_whole(spark: SparkSession, d: str) -> DataFrame:  # FLT-12, QRY-18
+def q_conditional_join(spark: SparkSession, d: str) -> DataFrame:  # FLT-12, QRY-18
     return _either_part(spark, d)
 
 
