@@ -124,6 +124,31 @@ def stars(c: Column) -> Column:
     return F.greatest(F.lit(0), F.least(F.lit(5), F.floor(n / 51 + 0.5))).cast("int")
 
 
+def stars_off_grid(c: Column) -> Column:
+    """True for a number that is no multiple of 51 from 0 to 255 and so was rounded."""
+    n = whole_number(c)
+    return n.isNotNull() & ~((n % 51 == 0) & n.between(0, 255))
+
+
+def named(c: Column, names: dict[str, str]) -> Column:
+    """The name of a code; an unknown code as it is (SCL-24)."""
+    if not names:
+        return c
+    table = F.create_map(*[F.lit(x) for pair in sorted(names.items()) for x in pair])
+    return F.coalesce(F.try_element_at(table, c), c)
+
+
+def format_text(name: Column, quantity: Column, note: Column, descriptions: Column) -> Column:
+    """``2×Vinyl, LP, Album (red)``: the quantity if over 1, name, descriptions and note (SCL-14)."""
+    listed = F.array_compact(F.coalesce(descriptions, F.array().cast("array<string>")))
+    return F.concat(
+        F.when(quantity > 1, F.concat(quantity.cast("string"), F.lit("×"))).otherwise(""),
+        F.coalesce(name, F.lit("")),
+        F.when(F.size(listed) > 0, F.concat(F.lit(", "), F.array_join(listed, ", "))).otherwise(""),
+        F.when(F.coalesce(note, F.lit("")) != "", F.concat(F.lit(" ("), note, F.lit(")"))).otherwise(""),
+    )
+
+
 def file_format(kind: Column, location: Column) -> Column:
     """``MP3 File`` -> MP3; another kind as it is (20 characters); else the extension (SCL-12)."""
     k = F.trim(F.coalesce(kind, F.lit("")))
@@ -220,6 +245,21 @@ def track_lines(c: Column) -> Column:
     return F.filter(lines, lambda s: F.trim(s["raw"]) != "")
 
 
+def track_text(lines: Column) -> Column:
+    """Lines of struct(position, title, artist, seconds) as text that ``track_lines`` reads (SCL-26)."""
+
+    def one(t: Column) -> Column:
+        title = F.concat(F.coalesce(t["title"], F.lit("")), F.when(t["artist"].isNotNull(), F.concat(F.lit(" // "), t["artist"])).otherwise(""))
+        return F.concat_ws(" | ", F.coalesce(t["position"], F.lit("")), title, display_duration(t["seconds"]))
+
+    return F.array_join(F.transform(lines, one), "\n")
+
+
+def identifier_text(lines: Column) -> Column:
+    """Lines of struct(type, value, description) as text that ``identifier_lines`` reads (SCL-26)."""
+    return F.array_join(F.transform(lines, lambda i: F.concat(i["type"], F.lit(": "), i["value"], F.when(i["description"].isNotNull(), F.concat(F.lit(" — "), i["description"])).otherwise(""))), "\n")
+
+
 def identifier_lines(c: Column) -> Column:
     """Lines ``Type: value — description`` as array of struct(line, type, value, description, error) (SCL-26)."""
 

@@ -74,3 +74,8 @@ def tag_list(c: Column, longest: int = 40, most: int = 30) -> Column:
 
 def clip(c: Column, most: int) -> Column:
     return F.substring(c, 1, most)
+
+
+def capped(c: Column, most: int) -> Column:
+    """The first elements of a list (SCL-16)."""
+    return F.slice(c, 1, most)

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gramoflow.functions import text
+from gramoflow.functions import ordering, text
+from gramoflow.operators import relational
+from gramoflow.operators.scale import stage
 
 
 def with_children(parents: DataFrame, key: str, **children: tuple[DataFrame, list[str]]) -> DataFrame:
@@ -50,6 +52,42 @@ def release_documents(releases: DataFrame, credits: DataFrame, codes: DataFrame,
     return out.select("ext_id", "title", F.coalesce("people", F.lit("")).alias("people"), F.coalesce("codes", F.lit("")).alias("codes"), _joined("names", F.col("year").cast("string"), "country", "format").alias("extra"))
 
 
+def master_documents(masters: DataFrame, credits: DataFrame) -> DataFrame:
+    """ext_id, title, people, codes, extra of masters: their credits, and genres, styles and year as the rest (FTS-01).
+
+    masters: ext_id, title, year, genres, styles array<string>; credits: ext_id, credit."""
+    people = credits.groupBy("ext_id").agg(_joined(F.array_sort(F.collect_set("credit"))).alias("people"))
+    listed = lambda c: F.array_compact(F.coalesce(c, F.array().cast("array<string>")))
+    return masters.join(people, "ext_id", "left").select("ext_id", "title", F.coalesce("people", F.lit("")).alias("people"), F.lit("").alias("codes"), _joined(listed(F.col("genres")), listed(F.col("styles")), F.col("year").cast("string")).alias("extra"))
+
+
+def browse(releases: DataFrame, hits: DataFrame | None = None, terms: DataFrame | None = None, wanted: list[str] = (), every: bool = False, formats: list[str] = (), countries: list[str] = (), years: tuple[int | None, int | None] = (None, None), number: int = 1, size: int = 24, most_hits: int = 5_000) -> DataFrame:
+    """work, title, n, year, total, truncated: one page of works, by title (QRY-01).
+
+    releases: discogs_id, master_discogs_id, title, year, country, format_name; hits: discogs_id, score, the best of which
+    count; terms: master_discogs_id, term. Empty conditions ask for nothing. total counts all works found, truncated tells
+    that there were more hits than looked at."""
+    truncated = F.lit(False)
+    if hits is not None:
+        best, more = relational.capped_candidates(hits, [F.col("score"), F.col("discogs_id")], most_hits)
+        releases, truncated = releases.join(F.broadcast(best.select("discogs_id")), "discogs_id", "left_semi"), F.lit(more)  # most_hits rows
+    if wanted:
+        releases = relational.with_terms(releases, terms, "master_discogs_id", list(wanted), every)
+    if formats:
+        releases = releases.filter(F.col("format_name").isin(*formats))
+    if countries:
+        releases = releases.filter(F.col("country").isin(*countries))
+    least, most = years
+    if least is not None:
+        releases = releases.filter(F.col("year") >= least)
+    if most is not None:
+        releases = releases.filter(F.col("year") <= most)
+    work = F.coalesce(F.concat(F.lit("m"), "master_discogs_id"), F.concat(F.lit("r"), "discogs_id"))
+    works = stage(releases.groupBy(work.alias("work")).agg(F.min_by("title", "discogs_id").alias("title"), F.count("*").alias("n"), F.min("year").alias("year")), "works")
+    total = works.count()
+    return ordering.page(works, [ordering.folded(F.col("title")), F.col("work")], number, size).select("work", "title", "n", "year", F.lit(total).cast("bigint").alias("total"), truncated.alias("truncated"))
+
+
 def artist_documents(artists: DataFrame, most: int = 20) -> DataFrame:
     """ext_id, title, people, codes, extra of artists: name, then variations and aliases up to a number, then the real name.
 

@@ -92,7 +92,24 @@ def same_file(batches: DataFrame, sha256: str) -> DataFrame:
     return batches.filter((F.col("sha256") == sha256) & (F.col("status") == "committed")).orderBy(F.col("committed_at").desc(), "batch_id").limit(1)
 
 
-def preview(result: DataFrame) -> DataFrame:
-    """One row of counts by class (QRY-24)."""
-    names = ("new", "existing", "changed", "ambiguous", "invalid")
-    return result.agg(F.count("*").alias("total"), *[F.count_if(F.col("class") == n).alias(n) for n in names])
+def matched(rows: DataFrame, catalog: DataFrame, ext: str, dim_id: str, dim_ext: str, name: str = "catalog_id") -> DataFrame:
+    """rows with the catalog's id of their external id, null where it has none (REC-06)."""
+    d = catalog.select(F.col(dim_ext).alias("_x"), F.col(dim_id).alias(name))
+    return rows.join(d, F.col(ext) == F.col("_x"), "left").drop("_x")
+
+
+def preview(result: DataFrame, rows: DataFrame | None = None, absent: DataFrame | None = None, by: list[str] | None = None) -> DataFrame:
+    """Counts (QRY-24), in one row or one for each ``by``: total and by class; with rows (row_number, target, warnings,
+    catalog_id) also physical, digital, with warnings and matched with the catalog; with absent (by) the entries missing
+    from the export."""
+    names, by = ("new", "existing", "changed", "ambiguous", "invalid"), by or []
+    counts = [F.count("*").alias("total"), *[F.count_if(F.col("class") == n).alias(n) for n in names]]
+    if rows is not None:
+        result = result.join(rows, "row_number", "left")
+        counts += [F.count_if(F.col("target") == t).alias(t) for t in ("physical", "digital")]
+        counts += [F.count_if(F.size("warnings") > 0).alias("with_warnings"), F.count_if(F.col("catalog_id").isNotNull()).alias("matched_catalog")]
+    out = result.groupBy(*by).agg(*counts)
+    if absent is not None:
+        gone = absent.groupBy(*by).agg(F.count("*").alias("_gone"))
+        out = (out.join(gone, by, "left") if by else out.join(gone)).withColumn("missing_from_export", F.coalesce("_gone", F.lit(0))).drop("_gone")  # without by one row each
+    return out

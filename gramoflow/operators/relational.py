@@ -42,6 +42,43 @@ def split_counts(df: DataFrame, column: Column, separator: str, none: str = "(no
     return df.select(parts.alias("key")).groupBy("key").agg(F.count("*").alias("n"))
 
 
+def list_member(column: Column, separator: str, value: str) -> Column:
+    """The delimited column holds the value, without regard to ASCII case (FLT-06)."""
+    folded = "".join(chr(ord(ch) + 32) if "A" <= ch <= "Z" else ch for ch in value)
+    return F.array_contains(F.split(ascii_fold(F.coalesce(column, F.lit(""))), separator), folded)
+
+
+def in_group(column: Column, value: str, none: str = "(none)") -> Column:
+    """Rows of a group that ``group_counts`` names: the null bucket by its name (FLT-07)."""
+    return column.isNull() if value == none else F.coalesce(column == F.lit(value), F.lit(False))
+
+
+def optional(df: DataFrame, **wanted) -> DataFrame:
+    """Rows equal to every value that is given; None and empty text ask for nothing (FLT-08)."""
+    for name, value in wanted.items():
+        if value not in (None, ""):
+            df = df.filter(F.col(name) == F.lit(value))
+    return df
+
+
+def same_text(a: Column, b: Column) -> Column:
+    """Equal without regard to ASCII case (FLT-11)."""
+    return ascii_fold(a) == ascii_fold(b)
+
+
+def public(df: DataFrame, columns: list[str], private: frozenset[str] = frozenset()) -> DataFrame:
+    """The named columns only; a private one among them is an error (PRJ-05)."""
+    if shown := sorted(private.intersection(columns)):
+        raise ValueError(f"private columns asked for: {', '.join(shown)}")
+    return df.select(*columns)
+
+
+def capped_candidates(df: DataFrame, order: list[Column], most: int) -> tuple[DataFrame, bool]:
+    """The first rows and whether there may be more (SRT-10): one row more than asked for is looked at."""
+    first = df.orderBy(*order).limit(most)
+    return first, df.limit(most + 1).count() > most
+
+
 def first_per_group(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each group as a map-side combined minimum, without a sort (JOI-09, WIN-04)."""
     rest = [c for c in df.columns if c not in keys and c not in order]

@@ -11,7 +11,7 @@ import re
 import unicodedata
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramoflow.functions.text import without_marks
@@ -121,6 +121,36 @@ def ranked(posted: DataFrame, doc_lengths: DataFrame, key: str, query: list[Word
     return found.orderBy("score", key).limit(limit) if limit else found
 
 
+def of_type(found: DataFrame, key: str, kind: str) -> DataFrame:
+    """Hits of one entity type (FTS-07). Keys are ``type:id``; ranks are those among all types."""
+    return found.filter(F.col(key).startswith(f"{kind}:"))
+
+
+def hydrated(found: DataFrame, key: str, **entities: DataFrame) -> DataFrame:
+    """key, score, rank and the row of each hit, whatever its type, in rank order (FTS-10).
+
+    found: key ``type:id`` and score, a few rows; entities by type: ext_id and the same further columns."""
+    w = Window.orderBy("score", key)  # a page of hits
+    ranked = found.withColumn("rank", F.row_number().over(w)).withColumn("_type", F.substring_index(key, ":", 1)).withColumn("ext_id", F.substring_index(key, ":", -1).cast("bigint"))
+    out = None
+    for kind, rows in entities.items():
+        one = rows.join(F.broadcast(ranked.filter(F.col("_type") == kind)), "ext_id")
+        out = one if out is None else out.unionByName(one)
+    return out.drop("_type").orderBy("rank")
+
+
+def updated_lengths(lengths: DataFrame, changed: DataFrame, removed: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """Lengths after ``updated`` (FTS-08)."""
+    gone = changed.select(key).unionByName(removed.select(key)).distinct()
+    size = sum((F.size(terms(F.col(f))) for f in fields), F.lit(0))
+    return lengths.join(gone, key, "left_anti").unionByName(changed.select(key, size.cast("bigint").alias("length")).filter("length > 0"))
+
+
+def cleared(posted: DataFrame, lengths: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """An index without documents (FTS-08)."""
+    return posted.filter(F.lit(False)), lengths.filter(F.lit(False))
+
+
 def updated(posted: DataFrame, changed: DataFrame, removed: DataFrame, key: str, fields: list[str]) -> DataFrame:
     """Postings with some documents replaced and some removed (FTS-08)."""
     gone = changed.select(key).unionByName(removed.select(key)).distinct()

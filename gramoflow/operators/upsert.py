@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gramoflow.operators.relational import last_wins
-from gramoflow.operators.scale import stage
+from gramoflow.operators.scale import sized_join, stage
 
 
 def classify(current: DataFrame, incoming: DataFrame, key: str, hash_column: str, edited: Column | None = None) -> DataFrame:
@@ -36,8 +38,9 @@ def with_surrogates(current: DataFrame, classified: DataFrame, key: str, surroga
 def apply(current: DataFrame, classified: DataFrame, key: str) -> DataFrame:
     """The next version of the table: updates replace, inserts join, everything else stays."""
     columns = current.columns
-    written = classified.filter(F.col("action").isin("insert", "update")).select(*columns)
-    return current.join(written.select(key), key, "left_anti").select(*columns).unionByName(written)
+    written = stage(classified.filter(F.col("action").isin("insert", "update")).select(*columns), "written")
+    # A handful of changes is broadcast, so that the table itself is not shuffled.
+    return sized_join(current, written.select(key), [key], "left_anti").select(*columns).unionByName(written)
 
 
 def replace_children(children: DataFrame, parents: DataFrame, new_children: DataFrame, key: str) -> DataFrame:
@@ -69,9 +72,48 @@ def companies(current: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def resolve(facts: DataFrame, dimension: DataFrame, fk: str, ext: str, dim_id: str, dim_ext: str) -> DataFrame:
-    """facts with null keys filled where the dimension now has the external id (MUT-07, JOI-16)."""
+    """facts with null keys filled where the dimension now has the external id (MUT-07, JOI-16).
+
+    An external id can be that of a tenth of the facts, so the join is broadcast or salted."""
     d = dimension.select(F.col(dim_ext).alias("_x"), F.col(dim_id).alias("_i"))
-    return facts.join(d, F.col(ext) == F.col("_x"), "left").withColumn(fk, F.coalesce(F.col(fk), F.col("_i"))).drop("_x", "_i")
+    joined = sized_join(facts.withColumn("_x", F.col(ext)), d, ["_x"], "left")
+    return joined.withColumn(fk, F.coalesce(F.col(fk), F.col("_i"))).select(*facts.columns)
+
+
+@dataclass(frozen=True)
+class Relation:
+    """A key of some facts that an external id names: fk is filled from the dimension (MUT-07)."""
+
+    name: str
+    facts: DataFrame
+    dimension: DataFrame
+    fk: str
+    ext: str
+    dim_id: str
+    dim_ext: str
+    placeholders: tuple[int, ...] = ()
+    edited: Column | None = None
+
+
+def reconcile_all(relations: list[Relation], written: dict[str, DataFrame] | None = None) -> tuple[dict[str, DataFrame], DataFrame]:
+    """All relations repaired and then resolved, in the given order; the facts by name, and the counts of each relation.
+
+    written: by relation the external ids that the run wrote; then only facts that name one of them are looked at, the
+    others stay as they are. Relations of one name are applied one after the other to the same facts."""
+    done: dict[str, DataFrame] = {}
+    counts = None
+    for r in relations:
+        facts = done.get(r.name, r.facts)
+        rest = None
+        if written is not None and r.name in written:
+            ids = written[r.name].select(F.col(written[r.name].columns[0]).alias(r.ext)).distinct()
+            rest = sized_join(facts, ids, [r.ext], "left_anti").select(*r.facts.columns)
+            facts = sized_join(facts, ids, [r.ext], "left_semi").select(*r.facts.columns)
+        now = resolve(repair(facts, r.dimension, r.fk, r.ext, r.dim_id, r.dim_ext, r.edited), r.dimension, r.fk, r.ext, r.dim_id, r.dim_ext)
+        done[r.name] = now if rest is None else now.unionByName(rest)
+        one = reference_counts(done[r.name], r.fk, r.ext, r.placeholders).select(F.lit(r.name).alias("relation"), F.lit(r.fk).alias("fk"), "*")
+        counts = one if counts is None else counts.unionByName(one)
+    return done, counts
 
 
 def repair(facts: DataFrame, dimension: DataFrame, fk: str, ext: str, dim_id: str, dim_ext: str, edited: Column | None = None) -> DataFrame:
@@ -114,11 +156,35 @@ def ingest(current: DataFrame, records: DataFrame, key: str, hash_column: str, o
     """The next version and the counts by action; of several records of a key the last counts, the others are unchanged."""
     one = last_wins(records, [key], [order])
     done = classify(current, one, key, hash_column, edited)
-    repeated = records.count() - one.count()
-    tally = done.groupBy("action").agg(F.count("*").alias("n")).unionByName(records.sparkSession.createDataFrame([("unchanged", repeated)], "action string, n bigint")).groupBy("action").agg(F.sum("n").alias("n"))
+    repeated = records.groupBy(key).agg((F.count("*") - 1).alias("n")).select(F.lit("unchanged").alias("action"), "n")
+    tally = done.groupBy("action").agg(F.count("*").alias("n")).unionByName(repeated).groupBy("action").agg(F.sum("n").alias("n")).filter("n > 0")
     return apply(current, done, key), tally
 
 
+def apply_rows(current: DataFrame, rows: DataFrame, key: str, values: list[str], edited: Column, now: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows of a committed batch written by their action, and the commit's counters (MUT-15, QRY-25).
+
+    current: key, the values, last_seen; rows: key, action (seen, update, create, skip, invalid), the values; one row a key.
+    ``seen`` and ``update`` renew last_seen; an update leaves the values of edited holdings as they are; the rest changes
+    nothing. Counters: created, updated, unchanged, skipped, invalid, kept_user_edits."""
+    mine = rows.filter(F.col("action").isin("seen", "update")).select(key, F.col("action").alias("_a"), *[F.col(v).alias(f"_n_{v}") for v in values])
+    joined = current.join(mine, key, "left").withColumn("_e", F.coalesce(edited, F.lit(False)))
+    write = (F.col("_a") == "update") & ~F.col("_e")
+    kept = joined.select(key, *[F.when(write, F.col(f"_n_{v}")).otherwise(F.col(v)).alias(v) for v in values], F.when(F.col("_a").isNotNull(), now).otherwise(F.col("last_seen")).alias("last_seen"))
+    created = rows.filter("action = 'create'").join(current.select(key), key, "left_anti").select(key, *values, now.alias("last_seen"))
+    known = rows.join(current.select(key, F.coalesce(edited, F.lit(False)).alias("_e")), key, "left")
+    is_ = lambda a: F.col("action") == a
+    tally = known.agg(
+        F.count_if(is_("create") & F.col("_e").isNull()).alias("created"),
+        F.count_if(is_("update") & ~F.col("_e")).alias("updated"),
+        F.count_if(is_("seen") & F.col("_e").isNotNull()).alias("unchanged"),
+        F.count_if(is_("skip")).alias("skipped"),
+        F.count_if(is_("invalid")).alias("invalid"),
+        F.count_if(is_("update") & F.col("_e")).alias("kept_user_edits"),
+    )
+    return kept.unionByName(created), tally
+
+
 def guarded(current: DataFrame, requests: DataFrame, key: str, expected: Column, changes: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
     """Compare-and-set (MUT-09). requests: key, request (their order) and what ``expected`` compares with the row.
 

@@ -298,16 +298,16 @@ left_over AS (SELECT e.k, f.batch_date, e.id FROM n e JOIN b f ON f.library_id =
 spare AS (SELECT k, batch_date, count(*) AS n FROM left_over GROUP BY ALL)"""
 
 
-def _all_copies(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+def _all_copies(spark: SparkSession, d: str, *more: str) -> tuple[DataFrame, DataFrame]:
     """The rows of all batches, and as known ones those of the library's batch before. Numbers and keys hold the batch's
     place, as the copies of one row come again in each batch."""
-    p = table(spark, d, "parsed_rows").select("library_id", "batch_date", "row_number", "identity_key", "content_hash").distinct()
+    p = table(spark, d, "parsed_rows").select("library_id", "batch_date", "row_number", "identity_key", "content_hash", *more).distinct()
     b = p.select("library_id", "batch_date").distinct()
     b = b.withColumn("place", F.row_number().over(Window.partitionBy("library_id").orderBy("batch_date")).cast("bigint"))
     p = p.join(b, ["library_id", "batch_date"]).withColumn("id", F.col("library_id") * 1000000 + F.col("row_number"))
     at = lambda place: [(place * _PLACE + F.col("id")).alias("id"), F.concat_ws("|", place, "library_id", "identity_key").alias("identity_key"), "content_hash"]
     known = p.join(b.select("library_id", (F.col("place") - 1).alias("place")), ["library_id", "place"], "left_semi").select(*at(F.col("place") + 1)).withColumnRenamed("id", "entry_id")
-    return p.select("library_id", "batch_date", *at(F.col("place"))).withColumnRenamed("id", "row_number").withColumn("invalid", F.lit(False)), known
+    return p.select("library_id", "batch_date", *at(F.col("place")), *more).withColumnRenamed("id", "row_number").withColumn("invalid", F.lit(False)), known
 
 
 #: Above any library_id * 1000000 + row_number.

@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from gramoflow.functions import parsing, text
-from gramoflow.sources.guards import refuse_unsafe
+from gramoflow.operators.scale import sized_join, stage
+from gramoflow.sources import guards
 
 CREDIT = "struct<id:string,name:string,anv:string,join:string,role:string,tracks:string>"
 _LINKS = "struct<name:array<struct<_VALUE:string,_id:string>>>"
@@ -30,15 +32,31 @@ SCHEMAS = {
 RECORDS = {"artists": "artist", "labels": "label", "masters": "master", "releases": "release"}
 
 
-def read_dump(spark: SparkSession, path: str, record: str, checked: bool = True) -> DataFrame:
-    """The records of a dump with record_index (their order within a file), source_file and corrupt (what could not be read).
+def read_dump(spark: SparkSession, path: str, record: str, checked: bool = True, most_text: int = guards.MOST_TEXT) -> DataFrame:
+    """The records of a dump with record_index (their place within the file, from 0), source_file, corrupt (what could not
+    be read), n_nodes, and clipped (whether a text was cut to most_text characters).
 
-    A document type is refused before anything is read; compression goes by the file's extension."""
+    A document type is refused before anything is read. Record types hold no element below a fixed depth, so that a record's
+    depth is bounded by its schema."""
     if checked:
-        refuse_unsafe(spark, path)
+        guards.refuse_unsafe(spark, path)
     schema = f"{SCHEMAS[record]}, _corrupt string"
     raw = spark.read.format("xml").option("rowTag", record).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt").schema(schema).load(path)
-    return raw.withColumn("source_file", F.input_file_name()).withColumn("record_index", F.monotonically_increasing_id()).withColumnRenamed("_corrupt", "corrupt")
+    fields = [f for f in raw.schema.fields if f.name != "_corrupt"]
+    whole, kind = F.struct(*[F.col(f.name) for f in fields]), T.StructType(fields)
+    long = guards.longest_text(whole, kind) > most_text
+    cut = [F.when(long, guards.clipped_texts(F.col(f.name), f.dataType, most_text)).otherwise(F.col(f.name)).alias(f.name) for f in fields]
+    out = raw.select(*cut, F.col("_corrupt").alias("corrupt"), guards.node_count(whole, kind).alias("n_nodes"), long.alias("clipped"), F.input_file_name().alias("source_file"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_at"))
+    return _numbered(stage(out, "dump"))
+
+
+def _numbered(records: DataFrame) -> DataFrame:
+    """record_index from the order within a file's blocks and the counts of the blocks before: no task sees a whole file."""
+    of_file = Window.partitionBy("source_file").orderBy("_block")
+    before = records.groupBy("source_file", "_block").agg(F.count("*").alias("_n"))  # one row a block
+    before = before.withColumn("_first", F.sum("_n").over(of_file) - F.col("_n")).drop("_n")
+    placed = records.withColumn("_in", F.row_number().over(Window.partitionBy("source_file", "_block").orderBy("_at")))
+    return sized_join(placed, before, ["source_file", "_block"]).withColumn("record_index", F.col("_first") + F.col("_in") - 1).drop("_first", "_in", "_block", "_at")
 
 
 def record_id(df: DataFrame) -> Column:
@@ -53,6 +71,7 @@ def checked_records(df: DataFrame, required: str) -> tuple[DataFrame, DataFrame]
     number = parsing.external_id(rid)
     reason = (
         F.when(F.col("corrupt").isNotNull(), "malformed record")
+        .when(F.col("n_nodes") > guards.MOST_NODES, "too many nodes")
         .when(rid.isNull(), "no id")
         .when(number.isNull(), F.coalesce(parsing.external_id_error(rid), F.lit("id 0")))
         .when(text.blank_to_null(F.col(required)).isNull(), f"no {required}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 
@@ -16,38 +17,34 @@ from gramoflow.sources.guards import refuse_unsafe
 
 # Header names of each field, compared without case, spaces and underscores.
 COLLECTION_COLUMNS = {
-    "catno": ("catalog#",), "artist": ("artist",), "title": ("title",), "label": ("label",), "format_raw": ("format",), "rating": ("rating",), "released": ("released",), "release_id": ("releaseid",),
-    "folder": ("collectionfolder",), "date_added": ("dateadded",), "media": ("collectionmediacondition", "mediacondition"), "sleeve": ("collectionsleevecondition", "sleevecondition"), "notes": ("collectionnotes", "notes"),
+    "catno": ("catalog#", "catalognumber", "catno", "catalog"), "artist": ("artist", "artists"), "title": ("title",), "label": ("label", "labels"), "format_raw": ("format", "formats"), "rating": ("rating",), "released": ("released", "year"), "release_id": ("releaseid", "discogsreleaseid"),
+    "folder": ("collectionfolder", "folder"), "date_added": ("dateadded", "added"), "media": ("collectionmediacondition", "mediacondition"), "sleeve": ("collectionsleevecondition", "sleevecondition"), "notes": ("collectionnotes", "notes"),
 }
 
 
+_CELL = r'(?:"(?:[^"]+|"")*+"[^,\r\n]*+|[^,\r\n]*+)'
+_RECORD = re.compile(rf"({_CELL}(?:,{_CELL})*+)(?:\r\n|[\r\n]|\Z)")
+
+
 def split_records(texts: DataFrame) -> DataFrame:
     """file_id, content -> file_id, row_number, raw_text: records of delimited files; line ends inside quotes stay, blank lines go.
 
-    Line ends may be CRLF, LF or CR; row 0 is the header; a quote that never ends takes the rest of the file."""
+    Line ends may be CRLF, LF or CR; row 0 is the header. A quote opens a value only at its start; elsewhere it is text, so
+    that it spoils its own record only. A value whose quote never ends is taken as unquoted: its line is the record, which
+    ``error_parse`` reports, and the lines behind it are read."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows: list[tuple[int, int, str]] = []
             for fid, body in zip(pdf["file_id"], pdf["content"], strict=True):
-                body = (body or "").removeprefix("﻿")
-                start, quoted, no, i, n = 0, False, 0, 0, len(body)
-                while i <= n:
-                    c = body[i] if i < n else "\n"
-                    if c == '"':
-                        quoted = not quoted
-                    elif (c in "\r\n" and not quoted) or i == n:
-                        record = body[start:i]
-                        if record.strip():
-                            rows.append((fid, no, record))
-                            no += 1
-                        if c == "\r" and body[i + 1 : i + 2] == "\n":
-                            i += 1
-                        start = i + 1
-                    i += 1
-                if len(rows) > 50_000:
-                    yield pd.DataFrame(rows, columns=["file_id", "row_number", "raw_text"])
-                    rows = []
+                body, no = (body or "").removeprefix("\ufeff"), 0
+                for m in _RECORD.finditer(body):
+                    if m.group(1).strip():
+                        rows.append((fid, no, m.group(1)))
+                        no += 1
+                        if len(rows) > 50_000:
+                            yield pd.DataFrame(rows, columns=["file_id", "row_number", "raw_text"])
+                            rows = []
             yield pd.DataFrame(rows, columns=["file_id", "row_number", "raw_text"])
 
     return texts.select(F.col("file_id").cast("bigint"), "content").mapInPandas(run, "file_id bigint, row_number bigint, raw_text string")

@@ -3,7 +3,7 @@
 import pytest
 from oracle import DATA, rows_of, sql_rows
 
-from gramoflow.plans import catalog, problems, problems_sql
+from gramoflow.plans import catalog, changes, problems, problems_sql, scalars, sources  # noqa: F401 - they add to the catalog
 
 QUERIES = problems.queries() | catalog.QUERIES
 SQL = problems_sql.oracle_sql() | catalog.SQL
