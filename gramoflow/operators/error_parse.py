@@ -11,7 +11,8 @@ Quote edits weigh more than any number of delimiter edits, so the cheapest parse
 * else the row is valid and loads.
 
 The format is deterministic, so a parse without edits is unique and is found by one pattern match; the program runs
-for the records without such a parse, many at a time as numpy arrays.
+for the records without such a parse, many at a time as numpy arrays. It steps over quotes, delimiters and whole runs of
+other characters, so that its work grows with the number of these and not with the length of the texts.
 
 Cases: a null text counts as an empty one; a record whose file has no header fails with ``columns``; rows without
 file or row number are no data rows; rows delivered twice come out once; other columns of the input are ignored.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -32,10 +34,11 @@ from gramoflow.operators.scale import sized_join
 _CELL = r'(?:"(?:[^"]|"")*+"|[^",]*+)'
 _WELL_FORMED = re.compile(rf"{_CELL}(?:,{_CELL})*+", re.S)
 _SPLIT = re.compile(r'(?:"((?:[^"]|"")*+)"|([^",]*+))(?:,|\Z)', re.S)
+_TOKEN = re.compile(r'[^",]+|[",]')
 _LINE_END = re.compile(r"(?:\r\n|\n|\r)\Z")
 
 # Costs: quote edits come before delimiter edits.
-_QUOTE, _DELIM, _NEVER = 1 << 20, 1, 1 << 29
+_QUOTE, _DELIM, _NEVER = 1 << 31, 1, 1 << 61
 _S, _U, _Q, _E = range(4)
 _OPS = {1: "delete quote", 2: "insert quote", 3: "delete delimiter", 4: "insert delimiter"}
 #: Cells of the program's table held at a time.
@@ -72,17 +75,18 @@ def split_well_formed(text: str) -> list[str] | None:
 def repair(texts: list[str], widths: list[int]) -> list[tuple[int, int, list[str], list[str]]]:
     """Cheapest parse of each text into exactly its width of cells: quote edits, delimiter edits, cells, edits."""
     out: list = [None] * len(texts)
-    order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
+    tokens = [_TOKEN.findall(t) for t in texts]
+    order = sorted(range(len(texts)), key=lambda i: len(tokens[i]))
     at = 0
     while at < len(order):
         take = 1
         while at + take < len(order):
             i = order[at + take]
-            if (take + 1) * (len(texts[i]) + 1) * 4 * (max(widths[j] for j in order[at : at + take + 1]) + 1) > _TABLE_CELLS:
+            if (take + 1) * (len(tokens[i]) + 1) * 4 * (max(widths[j] for j in order[at : at + take + 1]) + 1) > _TABLE_CELLS:
                 break
             take += 1
         chunk = order[at : at + take]
-        for i, res in zip(chunk, _repair_chunk([texts[i] for i in chunk], [widths[i] for i in chunk]), strict=True):
+        for i, res in zip(chunk, _repair_chunk([tokens[i] for i in chunk], [widths[i] for i in chunk]), strict=True):
             out[i] = res
         at += take
     return out
@@ -94,10 +98,10 @@ def _relax(cost: np.ndarray, back: np.ndarray, upcoming: np.ndarray) -> None:
     A delimiter put between a quote and text mends the quoting, so it weighs as much as a quote."""
     after_quote = np.where((upcoming == 0) | (upcoming == 1), _QUOTE, _DELIM)
     before_quote = np.where(upcoming == 1, _QUOTE, _DELIM)
-    extra = np.stack([np.full(len(cost), _DELIM), before_quote, after_quote], 1)
+    extra = np.array([np.full(len(cost), _DELIM), before_quote, after_quote]).T
     _relax_quotes(cost, back)
     for k in range(1, cost.shape[2]):  # one more cell
-        src = np.stack([cost[:, _S, k - 1], cost[:, _U, k - 1], cost[:, _E, k - 1]], 1) + extra
+        src = cost[:, [_S, _U, _E], k - 1] + extra
         which = src.argmin(1)
         least = src[np.arange(len(src)), which]
         better = least < cost[:, _S, k]
@@ -113,20 +117,21 @@ def _relax_quotes(cost: np.ndarray, back: np.ndarray) -> None:
         back[:, dst] = np.where(better, 128 + 8 * 2 + src, back[:, dst])
 
 
-def _repair_chunk(texts: list[str], widths: list[int]) -> list[tuple[int, int, list[str], list[str]]]:
+def _repair_chunk(texts: list[list[str]], widths: list[int]) -> list[tuple[int, int, list[str], list[str]]]:
+    """texts: quotes, delimiters and the runs of other characters between them. An edit within a run costs no less than the
+    same edit at one of its ends, so that a run is one step, however long it is."""
     b, n, k = len(texts), max(map(len, texts)), max(max(widths), 1)
     chars = np.full((b, n + 1), 3, np.int8)  # 0 other, 1 quote, 2 delimiter, 3 end
     for i, t in enumerate(texts):
-        codes = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.uint32)
-        chars[i, : len(t)] = (codes == 34) + 2 * (codes == 44)
-    cost = np.full((b, 4, k), _NEVER, np.int32)
+        chars[i, : len(t)] = [1 if x == '"' else 2 if x == "," else 0 for x in t]
+    cost = np.full((b, 4, k), _NEVER, np.int64)
     cost[:, _S, 0] = 0
     # One byte for each way: low 3 bits the former state; edits in the next; 128 marks an insertion.
     ways = np.zeros((n + 1, b, 4, k), np.uint8)  # how the cost after consuming was reached
     eps = np.zeros((n + 1, b, 4, k), np.uint8)  # how insertions improved it
     _relax(cost, eps[0], chars[:, 0])
     lengths = np.array([len(t) for t in texts])
-    final = np.full((b, 4, k), _NEVER, np.int32)
+    final = np.full((b, 4, k), _NEVER, np.int64)
     final[lengths == 0] = cost[lengths == 0]
     for p in range(n):
         c = chars[:, p]
@@ -136,7 +141,7 @@ def _repair_chunk(texts: list[str], widths: list[int]) -> list[tuple[int, int, l
         def go(src: int, dst: int, extra: int, edit: int, rows: np.ndarray, shift: int = 0, new=new, way=way, cost=cost) -> None:
             cand = cost[:, src] + extra
             if shift:
-                cand = np.concatenate([np.full((b, 1), _NEVER, np.int32), cand[:, :-1]], 1)
+                cand = np.concatenate([np.full((b, 1), _NEVER, np.int64), cand[:, :-1]], 1)
             better = rows[:, None] & (cand < new[:, dst])
             new[:, dst] = np.where(better, cand, new[:, dst])
             way[:, dst] = np.where(better, 8 * edit + src, way[:, dst])
@@ -171,16 +176,17 @@ def _repair_chunk(texts: list[str], widths: list[int]) -> list[tuple[int, int, l
     return out
 
 
-def _walk_back(text: str, i: int, state: int, k: int, ways: np.ndarray, eps: np.ndarray) -> tuple[list[str], list[str]]:
-    """Cells and edits of the cheapest parse, from its end to its start."""
+def _walk_back(text: list[str], i: int, state: int, k: int, ways: np.ndarray, eps: np.ndarray) -> tuple[list[str], list[str]]:
+    """Cells and edits of the cheapest parse, from its end to its start. Places of edits count characters."""
     cells: list[list[str]] = [[]]
+    place = [0, *accumulate(map(len, text))]
     edits: list[str] = []
     p = len(text)
     while True:
         way = int(eps[p, i, state, k])
         if way & 128:
             edit, src = (way >> 3) & 7, way & 7
-            edits.append(f"{_OPS[edit]} at {p}")
+            edits.append(f"{_OPS[edit]} at {place[p]}")
             if edit == 4:
                 cells.append([])
                 k -= 1
@@ -197,7 +203,7 @@ def _walk_back(text: str, i: int, state: int, k: int, ways: np.ndarray, eps: np.
             cells.append([])
             k -= 1
         elif edit:
-            edits.append(f"{_OPS[edit]} at {p}")
+            edits.append(f"{_OPS[edit]} at {place[p]}")
         elif text[p] == '"':
             if src == _E:
                 cells[-1].append('"')
@@ -216,8 +222,7 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bad = [i for i, (c, w) in enumerate(zip(cells, widths, strict=True)) if c is None or len(c) != w]
         known = [i for i in bad if widths[i] >= 1]
         for i, (q, d, repaired, ops) in zip(known, repair([texts[i] for i in known], [widths[i] for i in known]), strict=True):
-            malformed = cells[i] is None  # then some edit mends the quoting, whatever it inserts or deletes
-            quote[i], delim[i], cells[i], edits[i] = max(q, int(malformed)), d, repaired, ops
+            quote[i], delim[i], cells[i], edits[i] = q, d, repaired, ops
         for i in bad:
             if widths[i] < 1:  # no header: the record can't be read as it says
                 quote[i], delim[i], cells[i] = int(cells[i] is None), 1, cells[i] or []

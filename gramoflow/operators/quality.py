@@ -57,21 +57,21 @@ def xml_paths(files: DataFrame, content: str, record_tag: str) -> DataFrame:
         for pdf in batches:
             for name, body in zip(pdf["path"], pdf["content"], strict=True):
                 rows: list[tuple[str, str, str]] = []
-                stack: list[str] = []
+                open_tags: list[str] = []
                 no = -1
                 for event, el in ET.iterparse(BytesIO(body), events=("start", "end")):
                     if event == "start":
-                        stack.append(el.tag)
-                        if len(stack) == 2 and el.tag == record_tag:
+                        open_tags.append(el.tag)
+                        if len(open_tags) == 2 and el.tag == record_tag:
                             no += 1
                         continue
-                    if len(stack) >= 2 and stack[1] == record_tag:
-                        at = "/".join(stack[1:])
+                    if len(open_tags) >= 2 and open_tags[1] == record_tag:
+                        at = "/".join(open_tags[1:])
                         rows.append((f"{name}#{no}", at, (el.text or "").strip()))
                         rows.extend((f"{name}#{no}", f"{at}/@{k}", v) for k, v in el.attrib.items())
-                    if len(stack) == 2:
+                    if len(open_tags) == 2:
                         el.clear()
-                    stack.pop()
+                    open_tags.pop()
                     if len(rows) > 50_000:
                         yield pd.DataFrame(rows, columns=["record", "path", "value"])
                         rows = []

@@ -14,10 +14,11 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a broadcast side may have; the widest use (a few dozen bytes a row) stays within tens of MB.
-BROADCAST_ROWS = 200_000
-#: Ways in which a key is split when the small side is too large to broadcast.
-SALT = 16
+#: Rows and bytes of values that a broadcast side may have.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 64 << 20
+#: Ways in which a key is split when the small side is too large to broadcast: at least so many, and one for SALT_TASKS
+#: tasks that run at a time, so that a key with a third of all rows keeps the cluster busy.
+SALT, SALT_TASKS = 16, 8
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -55,9 +56,13 @@ def clear_staged(spark: SparkSession) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def within(df: DataFrame, rows: int) -> bool:
-    """True if df has at most so many rows; reads no more than rows + 1 of them to the counting stage."""
-    return df.limit(rows + 1).count() <= rows
+def within(df: DataFrame, rows: int, size: int = BROADCAST_BYTES) -> bool:
+    """True if df has at most so many rows and bytes of values; each task adds up its own, and only the sums are moved."""
+    plain = ("boolean", "byte", "short", "int", "bigint", "float", "double", "date", "timestamp", "timestamp_ntz")
+    wide = [F.coalesce(F.octet_length(f"`{f.name}`" if f.dataType.simpleString() in ("string", "binary") else F.to_json(F.struct(F.col(f"`{f.name}`")))), F.lit(0)) for f in df.schema.fields if f.dataType.simpleString() not in plain]
+    one = sum(wide, F.lit(8 * (len(df.columns) - len(wide))))
+    r = df.agg(F.count("*").alias("n"), F.coalesce(F.sum(one), F.lit(0)).alias("b")).first()
+    return r.n <= rows and r.b <= size
 
 
 def sized_join(
@@ -66,7 +71,7 @@ def sized_join(
     keys: list[str],
     how: str = "inner",
     rows: int = BROADCAST_ROWS,
-    salt: int = SALT,
+    salt: int | None = None,
     counted: DataFrame | None = None,
 ) -> DataFrame:
     """Join on equal keys, where ``small`` holds each key once (or a few times) and ``big`` may be skewed.
@@ -75,6 +80,8 @@ def sized_join(
     """
     if within(counted if counted is not None else small, rows):
         return big.join(F.broadcast(small), keys, how)
+    if salt is None:
+        salt = max(SALT, big.sparkSession.sparkContext.defaultParallelism // SALT_TASKS)
     # The salt comes from the row itself, so that a task run again after a loss sends its rows the same way.
     slots = F.explode(F.array(*[F.lit(i) for i in range(salt)]))
     plain = [F.col(f"`{f.name}`") for f in big.schema.fields if "map<" not in f.dataType.simpleString()]

@@ -29,6 +29,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gramoflow.operators.scale import sized_join, stage
+
 # The vocabulary of formats and their descriptions.
 FORMAT_VALUES = (
     "Vinyl", "CD", "CDr", "Cassette", "File", "MiniDisc", "Reel-To-Reel", "8-Track Cartridge", "Shellac", "Flexi-disc", "Lathe Cut", "Acetate", "SACD", "DVD", "Box Set",
@@ -48,11 +50,11 @@ _UNKNOWN, _EACH, _WEAK_SPLIT = 1.0, 0.01, 0.5
 
 
 def automaton(values: Iterable[str]) -> ahocorasick.Automaton:
-    """Of the values in lower case; one that maps to itself, so that lengths agree."""
+    """Of the values in lower case."""
     a = ahocorasick.Automaton()
     for v in values:
         low = v.strip().lower()
-        if low and len(low) == len(v.strip()):
+        if low:
             a.add_word(low, len(low))
     if len(a):
         a.make_automaton()
@@ -60,10 +62,15 @@ def automaton(values: Iterable[str]) -> ahocorasick.Automaton:
 
 
 def known_spans(text: str, known: ahocorasick.Automaton) -> list[tuple[int, int]]:
+    """Where known values stand in the text, in its own characters: some of them are several in lower case."""
     low = text.lower()
-    if not len(known) or len(low) != len(text):
+    if not len(known):
         return []
-    return [(end + 1 - size, end + 1) for end, size in known.iter(low)]
+    found = [(end + 1 - size, end + 1) for end, size in known.iter(low)]
+    if len(low) != len(text):
+        at = [i for i, c in enumerate(text) for _ in c.lower()]
+        found = [(at[a], at[b - 1] + 1) for a, b in found if (a == 0 or at[a] != at[a - 1]) and (b == len(at) or at[b] != at[b - 1])]
+    return found
 
 
 def _slots(text: str) -> tuple[list[tuple[int, int, bool]], list[bool]]:
@@ -192,7 +199,7 @@ def segment_fields(fields: DataFrame, names: DataFrame | None = None, vocabulary
 
         return fields.mapInPandas(run, f"{schema}, vals array<string>").select(*keys, "vals")
     shards = -(-names.count() // shard_values)
-    texts = fields.select("text").distinct()
+    texts = stage(fields.select("text").distinct(), "texts")  # read once a shard
     hits = None
     for s in range(shards):
         part = [r.v for r in names.filter(F.pmod(F.xxhash64("v"), F.lit(shards)) == s).collect()]  # about shard_values
@@ -211,8 +218,8 @@ def segment_fields(fields: DataFrame, names: DataFrame | None = None, vocabulary
     def cut(t: pd.Series, s: pd.Series) -> pd.Series:
         return pd.Series([segment(x, [] if y is None else list(zip(y[::2], y[1::2], strict=True)), plain) for x, y in zip(t, s, strict=True)])
 
-    cut_texts = texts.join(spans, "text", "left").select("text", cut("text", "spans").alias("vals"))
-    return fields.join(cut_texts, "text").select(*keys, "vals")
+    cut_texts = stage(texts.join(spans, "text", "left").select("text", cut("text", "spans").alias("vals")), "cut")
+    return sized_join(fields, cut_texts, ["text"]).select(*keys, "vals")
 
 
 def values(segmented: DataFrame, least: int = 1) -> DataFrame:

@@ -140,7 +140,7 @@ def peel(cells: pd.DataFrame, size: int) -> tuple[np.ndarray, bool]:
             break
         _, first = np.unique(h[pure], return_index=True)
         pure = pure[first]
-        got = np.stack([kh[pure], pair[pure], ch[pure], n[pure]], 1)
+        got = np.array([kh[pure], pair[pure], ch[pure], n[pure]]).T
         hashes = h[pure].copy()
         found.append(got)
         for j in range(3):
@@ -169,6 +169,8 @@ def differences(elements: DataFrame, order: DataFrame, subtable: int = SUBTABLE,
         failed = peeled.filter("sign = 0").select("bucket")
         if failed.isEmpty():
             break
+        if size > 4 * total + subtable:
+            raise RuntimeError(f"{failed.count()} buckets do not peel at {size} cells, more than their elements need: hashes collide")
         size *= GROWTH
         todo = sized_join(contrib, failed, ["bucket"], "left_semi")
     found = parts[0]
@@ -198,7 +200,9 @@ def changes(elements: DataFrame, keys: DataFrame, **sizes) -> DataFrame:
     elements = stage(elements, "elements")
     order = stage(copies(elements), "copies")
     diff = differences(elements, order, **sizes)
-    named = diff.join(keys.distinct(), "kh")
+    # The few keys that differ are picked before keys are made distinct, so that the others are not shuffled.
+    diff = stage(diff, "differences")
+    named = sized_join(keys, diff.select("kh").distinct(), ["kh"], "left_semi").distinct().join(diff, "kh")
     return sized_join(named, order.select("grp", F.col("ord").alias("pair"), F.col("copy").alias("snapshot")), ["grp", "pair"]).drop("grp", "pair", "kh")
 
 

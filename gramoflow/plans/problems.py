@@ -17,7 +17,8 @@ def p1_found(spark: SparkSession, d: str) -> DataFrame:
 
 
 def p1_loaded(spark: SparkSession, d: str) -> DataFrame:
-    return error_parse.load_valid(table(spark, d, "csv_rows")).drop("more")
+    loaded = error_parse.load_valid(table(spark, d, "csv_rows")).drop("more")
+    return loaded.withColumn("date_added", F.date_format("date_added", "yyyy-MM-dd HH:mm:ss"))
 
 
 def p2_found(spark: SparkSession, d: str) -> DataFrame:

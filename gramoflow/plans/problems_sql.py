@@ -33,6 +33,14 @@ WHERE NOT good OR fits IS NOT TRUE OR artist IS NULL OR title IS NULL
    OR (released IS NOT NULL AND NOT regexp_matches(released, '^(19[0-9]{2}|20[0-9]{2}|2100)'))
 """
 
+_HEAD, _BAD = P1.split("SELECT file_id, row_number,\n       CASE WHEN NOT good")[0], P1.rsplit("\nWHERE ", 1)[1]
+P1_LOADED = f"""{_HEAD}
+SELECT file_id, row_number, artist, title, CAST(rid AS BIGINT) AS release_id,
+       strftime(coalesce(try_strptime(added, '%Y-%m-%d %H:%M:%S'), try_strptime(added, '%Y-%m-%d %H:%M'), try_strptime(added, '%Y-%m-%d')), '%Y-%m-%d %H:%M:%S') AS date_added,
+       CAST(substr(released, 1, 4) AS INT) AS released
+FROM named WHERE NOT coalesce({_BAD}, false)"""
+
+
 P2 = """
 WITH artist_dates AS (SELECT DISTINCT discogs_id AS id, snapshot_date AS d FROM artist_snapshots),
 artist_first AS (SELECT id, min(d) AS f FROM artist_dates GROUP BY id),
@@ -114,4 +122,4 @@ SELECT 'xnode_records', rec_id, path, parent_path, node ->> '$.name' FROM walk W
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p2_counts": P2_COUNTS, "p3_found": P3, "p5_found": P5}
+    return {"p1_found": P1, "p1_loaded": P1_LOADED, "p2_found": P2, "p2_counts": P2_COUNTS, "p3_found": P3, "p5_found": P5}
