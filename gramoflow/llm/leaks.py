@@ -53,20 +53,39 @@ def words_of(text: str | None) -> list[str]:
     return _WORD.findall(text)
 
 
+class Bits:
+    """A packed bitmap with the number of ones before each of its 64-bit words."""
+
+    def __init__(self, bit: np.ndarray) -> None:
+        packed = np.zeros((len(bit) // 64 + 1) * 8, np.uint8)
+        held = np.packbits(bit, bitorder="little")
+        packed[: len(held)] = held
+        self.words = packed.view("<u8")
+        self.before = np.zeros(len(self.words), np.int32)
+        np.cumsum(np.bitwise_count(self.words[:-1]), out=self.before[1:])
+
+    def rank(self, at: np.ndarray) -> np.ndarray:
+        """Ones before each place."""
+        word = at >> 6
+        below = (np.uint64(1) << (at & 63).astype(np.uint64)) - np.uint64(1)
+        return self.before[word].astype(np.int64) + np.bitwise_count(self.words[word] & below)
+
+    def get(self, at: np.ndarray) -> np.ndarray:
+        return (self.words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
+
+
 class Wavelet:
-    """Ranks over a sequence of small integers: one bitmap with running counts for each bit."""
+    """Ranks and symbols of a sequence of small integers: one packed bitmap for each bit of them."""
 
     def __init__(self, seq: np.ndarray, sigma: int) -> None:
         self.bits = max(1, int(sigma - 1).bit_length())
-        self.ones: list[np.ndarray] = []
+        self.levels: list[Bits] = []
         self.zeros: list[int] = []
         cur = seq
         for b in range(self.bits - 1, -1, -1):
             bit = ((cur >> b) & 1).astype(bool)
-            run = np.zeros(len(cur) + 1, np.int32)
-            np.cumsum(bit, out=run[1:])
-            self.ones.append(run)
-            self.zeros.append(len(cur) - int(run[-1]))
+            self.levels.append(Bits(bit))
+            self.zeros.append(int(len(cur) - bit.sum()))
             cur = np.concatenate([cur[~bit], cur[bit]])
         self.first = np.searchsorted(_order_of(cur, self.bits), _reverse_bits(np.arange(sigma), self.bits))
 
@@ -74,11 +93,21 @@ class Wavelet:
         """How often each symbol stands before each position."""
         at = at.astype(np.int64)
         for level, b in enumerate(range(self.bits - 1, -1, -1)):
-            one = (symbol >> b) & 1
-            seen = self.ones[level][at]
-            at = np.where(one == 1, self.zeros[level] + seen, at - seen)
+            seen = self.levels[level].rank(at)
+            at = np.where((symbol >> b) & 1 == 1, self.zeros[level] + seen, at - seen)
         return at - self.first[symbol]
 
+    def symbol_and_rank(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The symbol at each position and how often it stands before it."""
+        at = at.astype(np.int64)
+        symbol = np.zeros(len(at), np.int64)
+        for level, b in enumerate(range(self.bits - 1, -1, -1)):
+            bits = self.levels[level]
+            one, seen = bits.get(at), bits.rank(at)
+            symbol |= one.astype(np.int64) << b
+            at = np.where(one, self.zeros[level] + seen, at - seen)
+        return symbol, at - self.first[symbol]
+
 
 def _reverse_bits(x: np.ndarray, bits: int) -> np.ndarray:
     out = np.zeros_like(x)
@@ -117,10 +146,10 @@ class FMIndex:
         seq = np.append(seq, 0)
         sa = suffix_array(seq)
         self.n = len(seq)
-        self.bwt = seq[sa - 1].astype(np.int64)
         self.starts = np.concatenate([[0], np.cumsum(np.bincount(seq, minlength=sigma))])
-        self.tree = Wavelet(self.bwt, sigma)
-        self.sampled = np.where(sa % SAMPLE == 0, sa, -1)  # the position, at rows of sampled suffixes
+        self.tree = Wavelet(seq[sa - 1].astype(np.int64), sigma)
+        sampled = sa % SAMPLE == 0
+        self.sampled, self.positions = Bits(sampled), sa[sampled].astype(np.int32)  # by row
 
     def search(self, patterns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """First row and row behind the last of each pattern (rows of equal length)."""
@@ -138,11 +167,11 @@ class FMIndex:
         out, at, steps = np.full(len(rows), -1), rows.copy(), 0
         todo = np.arange(len(rows))
         while len(todo):
-            known = self.sampled[at[todo]] >= 0
-            out[todo[known]] = self.sampled[at[todo[known]]] + steps
+            known = self.sampled.get(at[todo])
+            out[todo[known]] = self.positions[self.sampled.rank(at[todo[known]])] + steps
             todo = todo[~known]
-            c = self.bwt[at[todo]]
-            at[todo] = self.starts[c] + self.tree.rank(c, at[todo])
+            symbol, before = self.tree.symbol_and_rank(at[todo])
+            at[todo] = self.starts[symbol] + before
             steps += 1
         return out
 

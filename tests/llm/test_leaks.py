@@ -58,3 +58,12 @@ def test_spans_merge(spark):
     df = spark.createDataFrame([(1, "a b c d e f g x x a b c d")], "doc_id bigint, text string")
     it = spark.createDataFrame([(7, "a b c d e f g")], "item_id bigint, passage string")
     assert sorted((r.first_word, r.end_word) for r in lk.leaked_spans(df, it, least=3).collect()) == [(0, 7), (9, 13)]
+
+
+def test_queries_equal_sql(spark):
+    from oracle import DATA, rows_of, sql_rows
+
+    from gramoflow.llm import queries
+
+    for name, sql in queries.oracle_sql().items():
+        assert rows_of(queries.queries()[name](spark, DATA)) == sql_rows(sql), name
