@@ -1,7 +1,8 @@
 """Free-entered values mapped to a canonical list: a BK-tree under a true edit metric.
 
-The tree holds every written form of the reference entries: the entry, its label, the parts of the label, and the usual
-other names. A value is reduced to its compact form (case, accents, punctuation and spaces go, a plus is spelled
+The tree holds every written form of the reference entries: the entry, its label, the parts of the label, and other names
+of the entry. Other names ("tape" for a cassette) are knowledge from outside, no matter of spelling: they are a parameter,
+whose default holds those of record grades and carriers; another reference list brings its own or none. A value is reduced to its compact form (case, accents, punctuation and spaces go, a plus is spelled
 out) and looked up with a radius that depends on its length only; the triangle inequality prunes the tree, and every form
 within the radius comes back. The closest wins, then the entry with the lower position. A value that finds nothing as a
 whole is looked up without its remarks ("poor - scratched", "mint (my grading)"); one that finds nothing at all is
@@ -22,7 +23,8 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterable, Iterator
+import uuid
+from collections.abc import Iterable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -137,9 +139,9 @@ def radius(word: str) -> int:
     return 0 if len(word) < 4 else 1 if len(word) < 6 else 2
 
 
-def forms(entry: str, label: str | None) -> set[str]:
+def forms(entry: str, label: str | None, names: Mapping[str, tuple[str, ...]] = OTHER_NAMES) -> set[str]:
     """Compact written forms of a reference entry."""
-    raw = {entry, label or entry, *OTHER_NAMES.get(entry, ())}
+    raw = {entry, label or entry, *names.get(entry, ())}
     if label:
         outside = _PARENTHESES.sub(" ", label).strip()
         inside = re.findall(r"[(\[{]([^)\]}]*)", label)
@@ -148,11 +150,11 @@ def forms(entry: str, label: str | None) -> set[str]:
     return {c for r in raw if r and (c := compact(r))}
 
 
-def trees(reference: Iterable[tuple[str, str, str | None, int]]) -> dict[str, BKTree]:
+def trees(reference: Iterable[tuple[str, str, str | None, int]], names: Mapping[str, tuple[str, ...]] = OTHER_NAMES) -> dict[str, BKTree]:
     """field -> tree of the reference rows (field, entry, label, pos)."""
     out: dict[str, BKTree] = {}
     for field, entry, label, pos in sorted(reference, key=lambda r: (r[0], r[3], r[1])):
-        for form in sorted(forms(entry, label)):
+        for form in sorted(forms(entry, label, names)):
             out.setdefault(field, BKTree()).add(form, (pos, entry))
     return out
 
@@ -182,7 +184,19 @@ def closest(value: str, tree: BKTree | None) -> tuple[int, int, int, str] | None
     return None
 
 
-def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+#: The trees of the reference list that this process searched last, by what they were built of.
+_BUILT: dict[str, dict[str, BKTree]] = {}
+
+
+def _trees_of(token: str, rows: list, names: Mapping[str, tuple[str, ...]]) -> dict[str, BKTree]:
+    """The trees, built once in a process and not once a task."""
+    if token not in _BUILT:
+        _BUILT.clear()
+        _BUILT[token] = trees(rows, names)
+    return _BUILT[token]
+
+
+def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES, names: Mapping[str, tuple[str, ...]] = OTHER_NAMES) -> DataFrame:
     """values: field, value (distinct); reference: field, entry, entry_label, pos -> field, value, entry."""
     values = values.filter("trim(value) <> ''").select("field", "value").distinct()
     shards = 1 if within(reference, shard_entries) else -(-reference.count() // shard_entries)
@@ -192,8 +206,8 @@ def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHA
         rows = [(r.field, r.entry, r.entry_label, r.pos) for r in part.select("field", "entry", "entry_label", "pos").collect() if r.field is not None and r.entry is not None]  # at most about shard_entries
         held = values.sparkSession.sparkContext.broadcast(rows)
 
-        def look(batches: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            by_field = trees(held.value)
+        def look(batches: Iterator[pd.DataFrame], held=held, token=uuid.uuid4().hex) -> Iterator[pd.DataFrame]:
+            by_field = _trees_of(token, held.value, names)
             for pdf in batches:
                 best = [closest(v, by_field.get(f)) for f, v in zip(pdf["field"], pdf["value"], strict=True)]
                 yield pd.DataFrame({"field": pdf["field"], "value": pdf["value"], "step": [b[0] if b else 99 for b in best], "d": [b[1] if b else 99 for b in best], "pos": [b[2] if b else 0 for b in best], "entry": [b[3] if b else UNMATCHED for b in best]})
@@ -205,12 +219,12 @@ def map_values(values: DataFrame, reference: DataFrame, shard_entries: int = SHA
     return found.groupBy("field", "value").agg(F.min_by("entry", F.struct("step", "d", "pos", "entry")).alias("entry"))
 
 
-def map_rows(rows: DataFrame, values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES) -> DataFrame:
+def map_rows(rows: DataFrame, values: DataFrame, reference: DataFrame, shard_entries: int = SHARD_ENTRIES, names: Mapping[str, tuple[str, ...]] = OTHER_NAMES) -> DataFrame:
     """rows: row_id, field, text; values: field, text, value for each distinct text -> row_id, field, entry.
 
     Values that already are an entry or a label are no cases."""
     exact = reference.select("field", F.explode(F.array("entry", "entry_label")).alias("value")).distinct()
     cases = values.filter("trim(value) <> ''").join(exact, ["field", "value"], "left_anti")
-    entries = map_values(cases, reference, shard_entries)
+    entries = map_values(cases, reference, shard_entries, names)
     of_text = stage(cases.join(entries, ["field", "value"]).select("field", "text", "entry"), "entries")
     return sized_join(rows.filter("text IS NOT NULL").distinct(), of_text, ["field", "text"]).select("row_id", "field", "entry")

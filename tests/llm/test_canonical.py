@@ -54,3 +54,12 @@ def test_rows_nulls_ties_and_shards(spark):
         assert sorted(tuple(r) for r in ca.map_rows(rows, vals, ref, size).collect()) == want
     assert ca.map_rows(rows.limit(0), vals.limit(0), ref).count() == 0
     assert {r.entry for r in ca.map_values(vals, ref.limit(0)).collect()} == {"(unmatched)"}
+
+
+def test_other_names_are_a_parameter(spark):
+    """Another reference list: typing slips are found by the tree, other names only if they are given."""
+    ref = spark.createDataFrame([("city", "Lisbon", None, 1), ("city", "Porto", None, 2)], "field string, entry string, entry_label string, pos int")
+    values = spark.createDataFrame([("city", v) for v in ("lisbno", "Lisboa", "PORTO ", "Oporto", "Ghent")], "field string, value string")
+    got = lambda **k: {r.value.strip(): r.entry for r in ca.map_values(values, ref, **k).collect()}
+    assert got(names={}) == {"lisbno": "Lisbon", "Lisboa": "Lisbon", "PORTO": "Porto", "Oporto": "Porto", "Ghent": ca.UNMATCHED}
+    assert got(names={"Porto": ("Ghent",)})["Ghent"] == "Porto"
