@@ -55,3 +55,10 @@ def test_frames_and_shards(spark):
 
 def test_quantities():
     assert [sg.without_quantity(v) for v in ("2 x Vinyl", "3×CD", "10XLP", '12"', "2×", "8-Track")] == ["Vinyl", "CD", "LP", '12"', "2×", "8-Track"]
+
+
+def test_letters_that_grow_in_lower_case():
+    """A known value keeps its delimiter where lower-casing another letter of the text changes its length."""
+    known = sg.automaton(["Tin Music, Inc.", "\u0130ris, Ltd"])
+    text = "\u0130stanbul, Tin Music, Inc., \u0130ris, Ltd"
+    assert sg.segment(text, sg.known_spans(text, known)) == ["\u0130stanbul", "Tin Music, Inc.", "\u0130ris, Ltd"]

@@ -17,7 +17,7 @@ RELEASES = """<?xml version="1.0"?><releases>
  <tracklist><track><position>A1</position><title>T1</title><duration>1:02</duration></track><track><position></position><title>Side</title><duration></duration></track>
   <track><position>A2</position><title>Medley</title><duration></duration><sub_tracks><track><position>A2.a</position><title>S1</title></track><track><position>A2.b</position><title>S2</title></track></sub_tracks></track></tracklist>
  <identifiers><identifier type="Barcode" value="5 01" description=""/></identifiers>
- <videos><video src="https://www.youtube.com/watch?v=abcdefghijk"><title>v</title></video><video src="https://x.y/1"/></videos></release>
+ <videos><video src="https://www.youtube.com/watch?v=Qz7_xK-92Lm"><title>v</title></video><video src="https://x.y/1"/></videos></release>
 <release id="abc" status="Accepted"><title>Two</title></release><release id="3" status="Accepted"><title> </title></release><release id="1" status="Accepted"><title>One again</title></release></releases>"""
 
 
@@ -141,3 +141,40 @@ def test_freshness_and_generator(spark, tmp_path):
     assert tuple(f.state().first()) == (None, None)
     g = tables.generated(spark, 100, 7, kind=["a", "b", "c"])
     assert g.count() == 100 and sorted(map(tuple, g.collect())) == sorted(map(tuple, tables.generated(spark, 100, 7, kind=["a", "b", "c"]).collect()))
+
+
+def test_split_records_by_cells(spark):
+    """A stray quote spoils its own record only; line ends inside quotes stay; a quote that never ends takes its line."""
+    body = '\ufeffA,B\r\n1,12" mix\r\n\r\n2,"two\nlines"\r\n3,"say ""x"""\n4,"open\n5,last'
+    df = spark.createDataFrame([(7, body), (8, None), (9, "")], "file_id int, content string")
+    got = [(r.file_id, r.row_number, r.raw_text) for r in exports.split_records(df).collect()]
+    assert got == [(7, 0, "A,B"), (7, 1, '1,12" mix'), (7, 2, '2,"two\nlines"'), (7, 3, '3,"say ""x"""'), (7, 4, '4,"open'), (7, 5, "5,last")]
+
+
+def test_header_aliases(spark):
+    rows = spark.createDataFrame([(1, 0, "Catno,Artists,Title,Labels,Formats,Year,Folder,Added"), (1, 1, "Q-1,Ann,Song,Lab,LP,1999,Box,2024-01-02")], "file_id int, row_number int, raw_text string")
+    r = exports.collection_rows(rows).first()
+    assert (r.catno, r.artist, r.label, r.format_raw, r.released, r.folder, str(r.date_added)) == ("Q-1", "Ann", "Lab", "LP", 1999, "Box", "2024-01-02 00:00:00")
+
+
+def test_facts_of_long_files(spark, tmp_path):
+    """The whole file is looked at, in pieces: a document type behind a long comment, a broken letter at a piece's end."""
+    bodies = {"a.xml": b"<!--" + b"x" * 300_000 + b"--><!DocType a>", "b.xml": ("é" * 70_001).encode(), "c.xml": b"ok\xc3", "d.xml.gz": gzip.compress(b"<a/>" * 9) + gzip.compress(b"<!ENTITY x>"), "e.xml": gzip.compress(b"<a/>")}
+    for name, body in bodies.items():
+        (tmp_path / name).write_bytes(body)
+    got = {r.path.rsplit("/", 1)[1]: r for r in guards.file_facts(spark, str(tmp_path), piece=1001).collect()}
+    assert {n: (r.n_bytes, r.sha256) for n, r in got.items()} == {n: (len(b), hashlib.sha256(b).hexdigest()) for n, b in bodies.items()}
+    assert {n: (r.gzipped, r.doctype, r.utf8) for n, r in got.items()} == {"a.xml": (False, True, True), "b.xml": (False, False, True), "c.xml": (False, False, False), "d.xml.gz": (True, True, True), "e.xml": (True, False, True)}
+    for name in ("a.xml", "c.xml", "e.xml"):
+        with pytest.raises(guards.FileRefused):
+            guards.refuse_unsafe(spark, f"{tmp_path}/{name}")
+
+
+def test_record_limits_and_places(spark, tmp_path, monkeypatch):
+    records = "".join(f"<label><id>{i}</id><name>{'n' * (50 if i == 3 else 5)}</name><urls>{'<url>u</url>' * (9 if i == 4 else 1)}</urls></label>" for i in range(1, 8))
+    (tmp_path / "l.xml").write_text(f"<labels>{records}</labels>")
+    monkeypatch.setattr(guards, "MOST_NODES", 10)
+    read = dumps.read_dump(spark, str(tmp_path / "l.xml"), "label", most_text=20)
+    assert {r.id: (r.record_index, r.clipped, len(r.name)) for r in read.collect()} == {str(i): (i - 1, i == 3, 20 if i == 3 else 5) for i in range(1, 8)}
+    good, bad = dumps.checked_records(read, "name")
+    assert [(r.id, r.reason) for r in bad.collect()] == [("4", "too many nodes")] and good.count() == 6
