@@ -153,7 +153,7 @@ def items(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query(f"WITH {_ITEMS} SELECT item_type, library_id, count(*) AS n, count(label) AS labelled FROM items GROUP BY ALL")
-def q_library_items(spark: SparkSession, d: str) -> DataFrame:  # SET-01, PRJ-03, PRJ-04
+def q_library_items(spark: SparkSession, d: str) -> DataFrame:  # SET-01, PRJ-04
     return items(spark, d).groupBy("item_type", "library_id").agg(F.count("*").alias("n"), F.count("label").alias("labelled"))
 
 
@@ -165,12 +165,12 @@ def q_library_filter(spark: SparkSession, d: str) -> DataFrame:  # FLT-04, FLT-0
 
 
 @query(f"WITH {_ITEMS} SELECT coalesce(label, '(none)') AS key, count(*) AS n FROM items GROUP BY ALL")
-def q_group_counts(spark: SparkSession, d: str) -> DataFrame:  # AGG-09, FLT-07, QRY-12
+def q_group_counts(spark: SparkSession, d: str) -> DataFrame:  # AGG-09, QRY-12
     return relational.group_counts(items(spark, d), F.col("label"))
 
 
 @query("SELECT key, count(*) AS n FROM (SELECT unnest(CASE WHEN nullif(format_raw, '') IS NULL THEN ['(none)'] ELSE string_split(format_raw, ', ') END) AS key FROM collection_rows) GROUP BY key")
-def q_split_group_counts(spark: SparkSession, d: str) -> DataFrame:  # AGG-08, FLT-06
+def q_split_group_counts(spark: SparkSession, d: str) -> DataFrame:  # AGG-08
     return relational.split_counts(table(spark, d, "collection_rows"), F.col("format_raw"), ", ")
 
 
@@ -472,7 +472,7 @@ def q_partial_dates(spark: SparkSession, d: str) -> DataFrame:  # SCL-21, SCL-27
 @query("""WITH g AS (SELECT DISTINCT row_id, format_raw, media_condition, lower(trim(coalesce(media_condition, ''))) AS c, lower(regexp_replace(trim(regexp_extract(coalesce(format_raw, ''), '^[^,+]*')), '^[0-9]+\\s*[xX×]\\s*', '')) AS f FROM collection_rows)
 SELECT row_id, CASE WHEN regexp_matches(c, '^mint\\b|\\(m\\)$') THEN 'M' WHEN regexp_matches(c, 'near mint|\\(nm|m-\\)') THEN 'NM' WHEN regexp_matches(c, 'very good plus|\\(vg\\+\\)') THEN 'VG+' WHEN regexp_matches(c, 'very good|\\(vg\\)') THEN 'VG' WHEN regexp_matches(c, 'good plus|\\(g\\+\\)') THEN 'G+' WHEN regexp_matches(c, '^good\\b|\\(g\\)') THEN 'G' WHEN regexp_matches(c, 'fair|\\(f\\)') THEN 'F' WHEN regexp_matches(c, 'poor|\\(p\\)') THEN 'P' WHEN regexp_matches(c, 'generic') THEN 'GENERIC' WHEN regexp_matches(c, 'no cover|no sleeve') THEN 'NONE' ELSE 'NG' END AS grade,
  CASE WHEN regexp_matches(f, '^(vinyl|lp|12"|10"|7"|lathe cut|acetate|flexi-?disc|shellac)') THEN 'Vinyl' WHEN regexp_matches(f, '^(cd|sacd|hybrid|minidisc)') THEN 'CD' WHEN regexp_matches(f, '^(cass|microcassette)') THEN 'Cassette' WHEN regexp_matches(f, '^file') THEN 'Digital' ELSE 'Other' END AS format_group FROM g""")
-def q_grades_and_groups(spark: SparkSession, d: str) -> DataFrame:  # SCL-05, SCL-06, SCL-07, SRT-05
+def q_grades_and_groups(spark: SparkSession, d: str) -> DataFrame:  # SCL-06, SCL-07
     c = table(spark, d, "collection_rows").select("row_id", "format_raw", "media_condition").distinct()
     return c.select("row_id", parsing.grade(F.col("media_condition")).alias("grade"), parsing.typed_format_group(F.col("format_raw")).alias("format_group"))
 
@@ -519,7 +519,7 @@ def q_batches(spark: SparkSession, d: str) -> DataFrame:  # QRY-23, QRY-24, QRY-
 
 
 @query("WITH t AS (SELECT row_id, unnest(string_split(coalesce(format_raw, ''), ',')) AS tag FROM collection_rows), u AS (SELECT DISTINCT row_id, lower(trim(tag)) AS tag FROM t WHERE trim(tag) <> '') SELECT tag, count(*) AS n FROM u GROUP BY tag HAVING count(*) >= 3")
-def q_tag_counts(spark: SparkSession, d: str) -> DataFrame:  # QRY-16, MUT-06, MUT-18, AGG-13
+def q_tag_counts(spark: SparkSession, d: str) -> DataFrame:  # QRY-16, AGG-13
     t = table(spark, d, "collection_rows").select("row_id", F.explode(F.split(F.coalesce("format_raw", F.lit("")), ",")).alias("t")).select("row_id", F.lower(F.trim("t")).alias("tag")).filter("tag <> ''").distinct()
     return t.groupBy("tag").agg(F.count("*").alias("n")).filter("n >= 3")
 
