@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 
 from gramoflow.functions import ordering, parsing, text
 from gramoflow.operators import entities, reconcile, relational, search, upsert
-from gramoflow.operators.scale import shared_dir
-from gramoflow.plans.catalog import _ALL_COPIES, _LIVE, _PLACE, _all_copies, query, releases
+from gramoflow.plans.catalog import _ALL_COPIES, _LIVE, _PLACE, _all_copies, indexed, query, releases
 from gramoflow.session import table
 from gramoflow.sources import tables
 
@@ -152,22 +151,6 @@ def q_preview(spark: SparkSession, d: str) -> DataFrame:  # QRY-24, REC-06: ever
     return reconcile.preview(result, facts, gone, ["library_id", "batch_date"]).drop("changed", "invalid")
 
 
-#: Index folders by application and directory: an index is written once and read by all searches.
-_INDEXES: dict[tuple[str, str, str], str] = {}
-
-
-def indexed(spark: SparkSession, d: str, name: str, build) -> tuple[DataFrame, DataFrame]:
-    """Postings and lengths of the index of that name over d; build gives its documents (key ``ref`` and the fields)."""
-    at = (spark.sparkContext.applicationId, d, name)
-    path = _INDEXES.get(at)
-    if path is None:
-        path = f"{shared_dir(spark)}/index-{at[0]}-{name}-{len(_INDEXES)}"
-        posted = search.postings(build(), "ref", list(search.WEIGHTS))
-        tables.write_index(posted, search.lengths(posted, "ref"), path, files=8)
-        _INDEXES[at] = path
-    return tables.read_index(spark, path)
-
-
 def catalog_documents(spark: SparkSession, d: str) -> DataFrame:
     """ref (type:id), title, people, codes, extra of releases, masters and artists."""
     r = releases(spark, d, "title", "catalog_number", "label_name", "country", "format_name").withColumn("code", F.when(F.col("catalog_number") != "none", F.col("catalog_number")))
@@ -195,7 +178,7 @@ s AS (SELECT h.ref, count(*) AS k, -sum(greatest(1e-6, ln((docs - df + 0.5) / (d
 
 
 def _found(spark: SparkSession, d: str) -> DataFrame:
-    posted, lengths = indexed(spark, d, "catalog", lambda: catalog_documents(spark, d))
+    posted, lengths = indexed(spark, d, "catalog", "ref", list(search.WEIGHTS), lambda: catalog_documents(spark, d))
     return search.ranked(posted, lengths, "ref", search.compile_query("vinyl vol")).withColumn("score", F.round("score", 6))
 
 
@@ -234,7 +217,7 @@ def q_browse(spark: SparkSession, d: str) -> DataFrame:  # QRY-01, SRT-07, SRT-1
     m = table(spark, d, "master_records")
     terms = relational.union_distinct(m.select(F.col("discogs_id").alias("master_discogs_id"), F.explode("genres.genre").alias("term")), m.select(F.col("discogs_id").alias("master_discogs_id"), F.explode("styles.style").alias("term")))
     r = releases(spark, d, "master_discogs_id", "title", "released", "country", "format_name").withColumn("year", parsing.year_in(F.col("released"), 1850, 2100, at_start=True)).withColumn("released", F.lit(None))
-    posted, lengths = indexed(spark, d, "catalog", lambda: catalog_documents(spark, d))
+    posted, lengths = indexed(spark, d, "catalog", "ref", list(search.WEIGHTS), lambda: catalog_documents(spark, d))
     hits = search.of_type(search.ranked(posted.filter("field = 'title'"), lengths, "ref", search.compile_query("vol", prefix_from=99)), "ref", "release").select(F.substring_index("ref", ":", -1).cast("bigint").alias("discogs_id"), "score")
     return entities.browse(r, hits, terms, ["Jazz", "House", "Pop", "Rock"], False, ["Vinyl", "CD", "Cassette"], [], (1950, 2020), 1, 24, most_hits=1_000_000)
 
