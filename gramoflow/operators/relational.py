@@ -195,6 +195,20 @@ def either_join(left: DataFrame, right: DataFrame, exact: tuple[str, str], loose
     return a.unionByName(b)
 
 
+def either_summary(left: DataFrame, right: DataFrame, exact: tuple[str, str], loose: tuple[str, str], group: str, value: str, count: str, least: str) -> DataFrame:
+    """group, the number of its pairs under either_join and the least value on their right side (QRY-18).
+
+    The right rows are summed up by key before the join: a loose key of many rows on both sides would make a pair of each two."""
+    has = F.col(exact[0]).isNotNull()
+
+    def joined(rows: DataFrame, keys: tuple[str, str]) -> DataFrame:
+        sums = right.groupBy(F.col(keys[1]).alias("_k")).agg(F.count("*").alias("_n"), F.min(value).alias("_least"))
+        return rows.select(group, F.col(keys[0]).alias("_k")).join(sums, "_k").drop("_k")
+
+    both = joined(left.filter(has), exact).unionByName(joined(left.filter(~has), loose))
+    return both.groupBy(group).agg(F.sum("_n").alias(count), F.min("_least").alias(least))
+
+
 def sort_terms(column: str, descending: bool, ties: list[str]) -> list[Column]:
     """Unknown values last in both directions, then the column, then ties ascending (SRT-06)."""
     c = F.col(column)

@@ -559,8 +559,7 @@ def q_conditional_join(spark: SparkSession, d: str) -> DataFrame:  # FLT-12, QRY
 def _either_part(spark: SparkSession, d: str, customers: str = "true") -> DataFrame:
     k = F.col("c_custkey")
     w = table(spark, d, "customer").filter(customers).select("c_custkey", F.when(k % 2 == 0, k).alias("part"), F.concat(F.lit("Brand#"), (k % 9).cast("string")).alias("brand"))
-    j = relational.either_join(w, table(spark, d, "part"), ("part", "p_partkey"), ("brand", "p_brand"))
-    return j.groupBy("c_custkey").agg(F.count("*").alias("n"), F.min("p_partkey").alias("first_part"))
+    return relational.either_summary(w, table(spark, d, "part"), ("part", "p_partkey"), ("brand", "p_brand"), "c_custkey", "p_partkey", "n", "first_part")
 
 
 @query("SELECT item_type, item_id, artist, label FROM (SELECT DISTINCT 'physical' AS item_type, row_id AS item_id, artist, nullif(label, '') AS label FROM collection_rows WHERE library_id = 1000) ORDER BY label IS NULL, label DESC, item_type, item_id LIMIT 48 OFFSET 48")

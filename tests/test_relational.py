@@ -133,3 +133,15 @@ def test_nested_entities(spark):
     assert got == {1: [(1, "x"), (2, "y")], 2: []}
     docs = entities.artist_documents(spark.createDataFrame([(1, "N", None, ["v", None], None)], "ext_id bigint, name string, realname string, variations array<string>, aliases array<string>"))
     assert tuple(docs.first()) == (1, "N", "v", "", "")
+
+
+def test_either_summary_sums_up_before_it_joins(spark):
+    """What either_join and then grouping gives, with nulls and repeated rows, without a pair of each two rows of a hot key."""
+    left = spark.createDataFrame([(1, 10, "x"), (2, None, "x"), (2, None, "x"), (3, None, None), (4, 99, "x"), (5, None, "y")], "g int, e bigint, b string")
+    right = spark.createDataFrame([(10, "x"), (10, "x"), (11, "x"), (12, "y"), (13, None), (None, "x")], "p bigint, brand string")
+    pairs = rl.either_join(left, right, ("e", "p"), ("b", "brand")).groupBy("g").agg(F.count("*").alias("n"), F.min("p").alias("least"))
+    got = rl.either_summary(left, right, ("e", "p"), ("b", "brand"), "g", "p", "n", "least")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, pairs.collect())) == [(1, 2, 10), (2, 8, 10), (5, 1, 12)]
+    hot = spark.range(200_000)
+    rows = rl.either_summary(hot.select("id", F.lit(None).cast("bigint").alias("e"), F.lit("x").alias("b")), hot.select(F.col("id").alias("p"), F.lit("x").alias("brand")), ("e", "p"), ("b", "brand"), "id", "p", "n", "least")
+    assert tuple(rows.agg(F.count("*"), F.min("n"), F.max("n"), F.max("least")).first()) == (200_000, 200_000, 200_000, 0)
