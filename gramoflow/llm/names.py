@@ -54,6 +54,8 @@ EXTRA_INITIAL = 0.02
 #: Initials without a partner that a link can have.
 MOST_EXTRA = math.ceil((1 - THRESHOLD) / EXTRA_INITIAL) + 1
 Q = 3
+#: Steps of doubling (ways of 2 to this power) after which links are searched for circles.
+CIRCLE_STEPS = 5
 #: Tokens of so many letters have two grams left after three edits.
 LONG = 14
 
@@ -328,6 +330,46 @@ def join_keys(tokens: list[str], nearest: Nearest, order, seeking: bool) -> set[
     return out
 
 
+def _follow(edges: DataFrame, steps: int | None = None) -> tuple[DataFrame, bool]:
+    """cls, root, done with every way followed to its end, and whether all ended within the steps; each doubles the ways."""
+    while not edges.filter("NOT done").isEmpty():
+        if steps == 0:
+            return edges, False
+        steps = None if steps is None else steps - 1
+        up = edges.select(F.col("cls").alias("root"), F.col("root").alias("above"), F.col("done").alias("end"))
+        further = edges.filter("NOT done").join(up, "root").select("cls", F.col("above").alias("root"), F.col("end").alias("done"))
+        edges = stage(edges.filter("done").unionByName(further).distinct(), "roots")
+    return edges, True
+
+
+def roots_of(parents: DataFrame) -> DataFrame:
+    """cls, root: where the parents of each class lead. parents: cls, root; a class can have several and be one of its own.
+
+    A class that is its own parent is a root, also if it has others. Classes that lead to each other in a circle have
+    the same roots: those to which any way leads out of it, or else the least of them."""
+    edges = stage(parents.select("cls", "root", (F.col("cls") == F.col("root")).alias("done")).distinct(), "roots")
+    followed, whole = _follow(edges, CIRCLE_STEPS)
+    if whole:
+        return followed.select("cls", "root").distinct()
+    # What still goes on leads into a circle, or is very long. Circles become one class each, then every way ends.
+    core = stage(followed.filter("NOT done").select("cls").distinct(), "core")
+    inner = edges.filter("NOT done").join(core, "cls", "left_semi").join(core.select(F.col("cls").alias("root")), "root", "left_semi").select("cls", "root")
+    reach, n, known = stage(inner, "reach"), -1, 0
+    while n != known:
+        n, up = known, reach.select(F.col("cls").alias("root"), F.col("root").alias("above"))
+        reach = stage(reach.unionByName(reach.join(up, "root").select("cls", F.col("above").alias("root"))).distinct(), "reach")
+        known = reach.count()
+    back = reach.select(F.col("root").alias("cls"), F.col("cls").alias("root"))
+    heads = stage(reach.join(back, ["cls", "root"]).groupBy("cls").agg(F.min(F.least("cls", "root")).alias("head")), "heads")
+    above = heads.select(F.col("cls").alias("root"), F.col("head").alias("top"))
+    merged = edges.join(heads, "cls", "left").join(above, "root", "left").select(F.coalesce("head", "cls").alias("cls"), F.when(F.col("done"), F.col("root")).otherwise(F.coalesce("top", "root")).alias("root"), "done")
+    merged = merged.filter("done OR cls <> root").distinct()
+    closed = heads.select(F.col("head").alias("cls")).distinct().join(merged.select("cls"), "cls", "left_anti").select("cls", F.col("cls").alias("root"), F.lit(True).alias("done"))
+    ended = _follow(stage(merged.unionByName(closed), "roots"))[0].select("cls", "root")
+    others = heads.filter("cls <> head").join(ended.select(F.col("cls").alias("head"), "root"), "head").select("cls", "root")
+    return ended.unionByName(others).distinct()
+
+
 def links(texts: DataFrame, said: DataFrame | None = None, threshold: float = THRESHOLD, knowledge: Knowledge = USUAL_KNOWLEDGE) -> DataFrame:
     """text, root: the group of each spelling; a spelling can be of several artists.
 
@@ -410,15 +452,7 @@ def links(texts: DataFrame, said: DataFrame | None = None, threshold: float = TH
         free = pairs.join(classes.filter("anchored = 0").select("cls"), "cls", "left_semi")
         roots = roots.join(free.select("cls").distinct(), "cls", "left_anti").unionByName(pairs.select("cls", F.col("owner").alias("root")))
         roots = roots.distinct()
-    roots = stage(roots, "roots")
-    while True:  # follow parents to their roots; every step halves the way
-        up = roots.select(F.col("cls").alias("root"), F.col("root").alias("above"))
-        stepped = roots.join(up, "root", "left").select("cls", F.coalesce("above", "root").alias("root"), (F.coalesce("above", "root") != F.col("root")).alias("moved"))
-        stepped = stage(stepped.groupBy("cls", "root").agg(F.max("moved").alias("moved")), "roots")
-        moved = not stepped.filter("moved").isEmpty()
-        roots = stepped.select("cls", "root")
-        if not moved:
-            break
+    roots = roots_of(roots)
     return named.select("text", "cls").join(roots, "cls").select("text", "root").distinct()
 
 

@@ -148,3 +148,22 @@ def test_knowledge_is_a_parameter(spark):
     own = nm.Knowledge({}, {}, {"xobo": "robert"})
     assert [tuple(r) for r in nm.pairs(nm.links(texts, knowledge=own)).collect()] == [("Robert Nohamat", "Xobo Nohamat")]
     assert {(r.text, r.n_links) for r in nm.members(nm.links(texts)).collect()} == {("Robert Nohamat", 1), ("Bob Nohamat", 1), ("Xobo Nohamat", 0)}
+
+
+def test_roots_of_circles_and_of_own_artists(spark):
+    """Every way ends: circles of any length are one group, a root that has parents as well keeps its own group."""
+    edges = [(1, 1), (2, 1), (3, 2), (10, 11), (11, 12), (12, 10), (13, 10), (20, 21), (21, 20), (30, 31), (31, 32), (32, 30), (32, 1), (40, 40), (40, 41), (41, 41), (42, 40), (50, 50), (50, 51), (51, 51), (51, 50)]
+    edges += [(100 + i, 101 + i) for i in range(80)] + [(180, 180)]
+    got: dict[int, set[int]] = {}
+    for c, r in nm.roots_of(spark.createDataFrame(edges, "cls bigint, root bigint")).collect():
+        got.setdefault(c, set()).add(r)
+    want = {1: {1}, 2: {1}, 3: {1}} | {i: {10} for i in (10, 11, 12, 13)} | {20: {20}, 21: {20}} | {i: {1} for i in (30, 31, 32)}
+    want |= {40: {40, 41}, 41: {41}, 42: {40, 41}, 50: {50, 51}, 51: {50, 51}} | {i: {180} for i in range(100, 181)}
+    assert got == want
+
+
+def test_an_artist_said_to_be_a_spelling_of_another(spark):
+    """An artist's name that a row gives as the spelling of another belongs to both; spellings said of each other are one group."""
+    texts = spark.createDataFrame([("John Tulaj", 3, 1), ("Zikawopat", 3, 1), ("Pufane", 1, 0), ("Girahor", 1, 0)], "text string, n bigint, anchored int")
+    said = spark.createDataFrame([("John Tulaj", "Zikawopat"), ("Pufane", "Girahor"), ("Girahor", "Pufane")], "name string, anv string")
+    assert {tuple(r) for r in nm.pairs(nm.links(texts, said)).collect()} == {("John Tulaj", "Zikawopat"), ("Girahor", "Pufane")}
