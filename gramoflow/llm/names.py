@@ -254,13 +254,17 @@ def near_keys(token: str, order) -> set[str]:
 
 
 class Nearest:
-    """The frequent tokens within the edit bound of a token, itself included; letter counts rule out most of them."""
+    """The frequent tokens within the edit bound of a token, itself included; letter counts rule out most of them.
 
-    def __init__(self, heavy: dict[str, int]):
-        self.heavy = sorted(heavy)
+    ``kinds`` finds those of the kinds of artists, which are no words of a name."""
+
+    def __init__(self, heavy: dict[str, int] | frozenset[str], kinds: bool = False):
+        self.heavy = sorted(h for h in heavy if len(h) > 1 and (h in KINDS) == kinds)
+        self.kinds = None if kinds else Nearest(KINDS, True)
         self.counts = np.array([self._count(h) for h in self.heavy], dtype=np.int16).reshape(-1, 32)
         self.lengths = self.counts.sum(1)
         self.known: dict[str, list[str]] = {}
+        self.firsts: dict[str, frozenset[str]] = {}
 
     @staticmethod
     def _count(token: str) -> np.ndarray:
@@ -271,13 +275,20 @@ class Nearest:
             most = edits_allowed(len(token) + 3)
             apart = np.abs(self.counts - self._count(token)).sum(1)  # an edit changes it by 2 at most
             at = np.flatnonzero((apart <= 2 * most) & (np.abs(self.lengths - len(token)) <= most))
-            self.known[token] = [h for h in (self.heavy[i] for i in at) if len(h) > 1 and h not in KINDS and token_similarity(token, h) > 0]
+            self.known[token] = [h for h in (self.heavy[i] for i in at) if token_similarity(token, h) > 0]
         return self.known[token]
 
+    def initials(self, token: str) -> frozenset[str]:
+        """The first letters of the token and of the frequent tokens and kinds near it."""
+        if token not in self.firsts:
+            self.firsts[token] = frozenset(t[0] for t in (token, *((*self(token), *self.kinds(token)) if len(token) > 1 else ())))
+        return self.firsts[token]
+
 
-def _initials(rest: list[str]) -> list[str]:
-    """The initials under which the other tokens are met; none too if they are initials, as these may be missing."""
-    return sorted({r[0] for r in rest} | ({""} if all(len(r) == 1 for r in rest) else set()))
+def _initials(rest: list[str], nearest: Nearest) -> list[str]:
+    """The initials under which the other tokens are met, also if slips are in first letters: those of the frequent tokens
+    and kinds near them count as well. None too if they are initials, as these may be missing."""
+    return sorted(set().union(*map(nearest.initials, rest)) | ({""} if all(len(r) == 1 for r in rest) else set()))
 
 
 def join_keys(tokens: list[str], nearest: Nearest, order, seeking: bool) -> set[tuple[int, str]]:
@@ -289,7 +300,9 @@ def join_keys(tokens: list[str], nearest: Nearest, order, seeking: bool) -> set[
     in these and initials. For that a token stands for each frequent token near it. Two such tokens are a key together
     with the initial of a further one, and one such token with the initial of another one. As initials stand for names of
     one side only, one of the two classes has no word besides frequent ones (two tokens) or besides one (one token); it
-    is "bare", and bare classes meet all, but the others only bare ones: a key on a third of all classes joins with few."""
+    is "bare", and bare classes meet all, but the others only bare ones: a key on a third of all classes joins with few.
+    A word near a kind (sister, sisters) can stand for that kind, so it counts for neither; where nothing but such words
+    is shared, the class that seeks meets the held kind with the initial of another token."""
     out: set[tuple[int, str]] = set()
     words = [t for t in tokens if len(t) > 1 and t not in KINDS]
     for t in {t for t in words if t not in nearest(t)}:
@@ -312,19 +325,27 @@ def join_keys(tokens: list[str], nearest: Nearest, order, seeking: bool) -> set[
     if len(tokens) > MOST_TOKENS:
         return out
     common = [(t, near) for t, near in known if near]
-    single, all_common = len(words) < 2, len(common) == len(words)
+    own = [(t, near) for t, near in known if not nearest.kinds(t)]
+    single, all_common = len(own) < 2, all(near for _, near in own)
+    for t in {t for t in tokens if len(t) > 2 and (t in KINDS) != seeking}:
+        rest = list(tokens)
+        rest.remove(t)
+        for k in nearest.kinds(t) if seeking else [t]:
+            out.update((_gram_hash(f"~{k}|{i}"), t) for i in _initials(rest, nearest))
     for j, (t, near) in enumerate(common):
         rest = list(tokens)
         rest.remove(t)
+        met = _initials(rest, nearest)
         for h in near:
-            for i in _initials(rest):
+            for i in met:
                 meet(f"{h}|{i}", single, t)
         for u, others in common[j + 1 :]:
             further = list(rest)
             further.remove(u)
+            met = _initials(further, nearest)
             for h in near:
                 for o in others:
-                    for i in _initials(further):
+                    for i in met:
                         first, token = min((h, t), (o, u))
                         meet(f"{first} {max(h, o)}|{i}", all_common, token)
     return out
@@ -440,8 +461,10 @@ def links(texts: DataFrame, said: DataFrame | None = None, threshold: float = TH
     to_anchor = scored.filter("anchored = 1").groupBy("r").agg(F.max_by("s", "score").alias("s"), F.max("score").alias("top"), F.collect_list("score").alias("all"))
     to_anchor = to_anchor.select(F.col("r").alias("cls"), F.when(F.size(F.filter("all", lambda x: x >= F.col("top") - 1e-9)) == 1, F.col("s")).alias("parent"))
     # Without an anchor, the most frequent partner that comes before it in a fixed order.
-    ahead = (F.col("sn") > F.col("rn")) | ((F.col("sn") == F.col("rn")) & (F.col("s") > F.col("r")))
-    to_other = scored.filter("anchored = 0").filter(ahead).join(to_anchor.select(F.col("cls").alias("r")), "r", "left_anti")
+    # A partner that has an anchor leads on to it, so that it need not come before.
+    settled = to_anchor.filter("parent IS NOT NULL").select(F.col("cls").alias("s"), F.lit(True).alias("settled"))
+    ahead = (F.col("sn") > F.col("rn")) | ((F.col("sn") == F.col("rn")) & (F.col("s") > F.col("r"))) | F.col("settled")
+    to_other = scored.filter("anchored = 0").join(settled, "s", "left").filter(ahead).join(to_anchor.select(F.col("cls").alias("r")), "r", "left_anti")
     to_other = to_other.groupBy("r").agg(F.max_by("s", F.struct("score", "sn", "s")).alias("parent")).withColumnRenamed("r", "cls")
     parents = to_anchor.filter("parent IS NOT NULL").unionByName(to_other)
     roots = classes.select("cls").join(parents, "cls", "left").select("cls", F.coalesce("parent", "cls").alias("root"))
