@@ -103,19 +103,34 @@ def reconcile_all(relations: list[Relation], written: dict[str, DataFrame] | Non
     done: dict[str, DataFrame] = {}
     counts = None
     for r in relations:
-        facts = done.get(r.name, r.facts)
-        rest = None
+        facts = before = done.get(r.name, r.facts)
+        rest = ids = None
         if written is not None and r.name in written:
             ids = written[r.name].select(F.col(written[r.name].columns[0]).alias(r.ext)).distinct()
             rest = sized_join(facts, ids, [r.ext], "left_anti").select(*r.facts.columns)
             facts = sized_join(facts, ids, [r.ext], "left_semi").select(*r.facts.columns)
         now = resolve(repair(facts, r.dimension, r.fk, r.ext, r.dim_id, r.dim_ext, r.edited), r.dimension, r.fk, r.ext, r.dim_id, r.dim_ext)
         done[r.name] = now if rest is None else now.unionByName(rest)
-        one = reference_counts(done[r.name], r.fk, r.ext, r.placeholders).select(F.lit(r.name).alias("relation"), F.lit(r.fk).alias("fk"), "*")
+        one = _resolved_counts(before, r, ids).select(F.lit(r.name).alias("relation"), F.lit(r.fk).alias("fk"), "*")
         counts = one if counts is None else counts.unionByName(one)
     return done, counts
 
 
+def _resolved_counts(facts: DataFrame, r: Relation, ids: DataFrame | None) -> DataFrame:
+    """reference_counts of the facts once repaired and resolved.
+
+    Facts are summed up by their keys before the joins, so that no key is hot: nothing is salted, and nothing is broadcast
+    through the driver."""
+    keys = facts.groupBy(r.fk, r.ext, (r.edited if r.edited is not None else F.lit(False)).alias("_edited")).agg(F.count("*").alias("_n"))
+    looked_at = keys if ids is None else keys.join(ids.hint("merge"), r.ext, "left_semi")
+    repaired = repair(looked_at, r.dimension.hint("merge"), r.fk, r.ext, r.dim_id, r.dim_ext, F.col("_edited"))
+    d = r.dimension.select(F.col(r.dim_ext).alias("_x"), F.col(r.dim_id).alias("_i"))
+    now = repaired.join(d.hint("merge"), F.col(r.ext) == F.col("_x"), "left").withColumn(r.fk, F.coalesce(F.col(r.fk), F.col("_i"))).select(*keys.columns)
+    if ids is not None:
+        now = now.unionByName(keys.join(ids.hint("merge"), r.ext, "left_anti").select(*keys.columns))
+    return reference_counts(now, r.fk, r.ext, r.placeholders, F.col("_n"))
+
+
 def repair(facts: DataFrame, dimension: DataFrame, fk: str, ext: str, dim_id: str, dim_ext: str, edited: Column | None = None) -> DataFrame:
     """facts with keys cleared that disagree with their external id (MUT-08)."""
     d = dimension.select(F.col(dim_id).alias("_i"), F.col(dim_ext).alias("_x"))
@@ -123,15 +138,16 @@ def repair(facts: DataFrame, dimension: DataFrame, fk: str, ext: str, dim_id: st
     return facts.join(d, F.col(fk) == F.col("_i"), "left").withColumn(fk, F.when(~F.coalesce(stale, F.lit(False)), F.col(fk))).drop("_i", "_x")
 
 
-def reference_counts(facts: DataFrame, fk: str, ext: str, placeholders: tuple[int, ...] = ()) -> DataFrame:
-    """resolved, unresolved, placeholder, none in one pass (AGG-19)."""
+def reference_counts(facts: DataFrame, fk: str, ext: str, placeholders: tuple[int, ...] = (), n: Column | None = None) -> DataFrame:
+    """resolved, unresolved, placeholder, none in one pass (AGG-19). n: facts that a row stands for."""
     e, k = F.col(ext), F.col(fk)
     special = e.isin(*placeholders) if placeholders else F.lit(False)
+    total = F.count_if if n is None else lambda of: F.coalesce(F.sum(F.when(of, n)), F.lit(0))
     return facts.agg(
-        F.count_if(k.isNotNull()).alias("resolved"),
-        F.count_if(k.isNull() & e.isNotNull() & ~special).alias("unresolved"),
-        F.count_if(k.isNull() & e.isNotNull() & special).alias("placeholder"),
-        F.count_if(k.isNull() & e.isNull()).alias("none"),
+        total(k.isNotNull()).alias("resolved"),
+        total(k.isNull() & e.isNotNull() & ~special).alias("unresolved"),
+        total(k.isNull() & e.isNotNull() & special).alias("placeholder"),
+        total(k.isNull() & e.isNull()).alias("none"),
     )
 
 

@@ -145,3 +145,19 @@ def test_either_summary_sums_up_before_it_joins(spark):
     hot = spark.range(200_000)
     rows = rl.either_summary(hot.select("id", F.lit(None).cast("bigint").alias("e"), F.lit("x").alias("b")), hot.select(F.col("id").alias("p"), F.lit("x").alias("brand")), ("e", "p"), ("b", "brand"), "id", "p", "n", "least")
     assert tuple(rows.agg(F.count("*"), F.min("n"), F.max("n"), F.max("least")).first()) == (200_000, 200_000, 200_000, 0)
+
+
+def test_counts_of_relations_pass_nothing_through_the_driver(spark):
+    dim = spark.createDataFrame([(1, 10), (2, 20), (3, 30), (3, 31)], "id bigint, x bigint")
+    rows = [(None, 10, False)] * 40 + [(1, 10, False), (1, 20, False), (1, 20, True), (1, 20, None), (None, 99, False), (None, 194, False), (None, None, False), (7, 20, False), (7, None, False), (3, 31, False)]
+    facts = spark.createDataFrame(rows, "fk bigint, ext bigint, edited boolean")
+    for edited in (None, F.col("edited")):
+        r = upsert.Relation("a", facts, dim, "fk", "ext", "id", "x", (194,), edited)
+        for written in (None, {"a": spark.createDataFrame([(20,), (31,), (99,)], "ext bigint")}):
+            done, counts = upsert.reconcile_all([r, r], written)
+            last = upsert.reference_counts(done["a"], "fk", "ext", (194,)).first()
+            got = counts.collect()
+            assert len(got) == 2 and tuple(got[1])[2:] == tuple(last) and counts.schema["none"].dataType.simpleString() == "bigint"
+    none = upsert.reconcile_all([upsert.Relation("a", facts.limit(0), dim, "fk", "ext", "id", "x")])[1]
+    assert tuple(none.first())[2:] == (0, 0, 0, 0)
+    assert "Broadcast" not in upsert.reconcile_all([r])[1]._jdf.queryExecution().executedPlan().toString()
