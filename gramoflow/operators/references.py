@@ -5,7 +5,8 @@ table holds at that period; the few pairs left get their reason and are joined b
 
 Parents come as a log of (id, period, live): a snapshot table is live only in its own period, a change log is live
 from a row until the next row of that id. A parent key that holds a large share of all references costs nothing
-special, as pairs are aggregated before the shuffle; the join back is size-checked or salted.
+special, as pairs are aggregated before the shuffle; the join back is broadcast if it takes a small share of the driver's
+heap, as those of several tables are alive at once, else salted.
 
 Cases: ids that are null, 0 or a listed placeholder are no reference; rows without period resolve nowhere and are
 left out, as there is no period to report them under; rows delivered twice come out once.
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gramoflow.operators.scale import sized_join, stage
+from gramoflow.operators.scale import heap_share, sized_join, stage
 
 
 def references(rows: DataFrame, rec_id: str, ref_id: str, period: str, placeholders: tuple[int, ...] = ()) -> DataFrame:
@@ -53,7 +54,7 @@ def orphans(refs: DataFrame, holdings: DataFrame, snapshot: bool) -> DataFrame:
     first = holdings.groupBy("ref_id").agg(F.min("since").alias("first"))
     reason = F.when(F.col("first").isNull(), "missing").when(F.col("first") <= F.col("period"), "deleted").otherwise("later")
     explained = stage(left.join(first, "ref_id", "left").select("ref_id", "period", reason.alias("reason")), "orphans")
-    return sized_join(refs, explained, ["ref_id", "period"]).select("rec_id", "period", "ref_id", "reason").distinct()
+    return sized_join(refs, explained, ["ref_id", "period"], size=heap_share(refs.sparkSession)).select("rec_id", "period", "ref_id", "reason").distinct()
 
 
 def counts(found: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from gramoflow.operators import references as ref
+from gramoflow.operators import scale
 
 
 def test_snapshot_and_log_reasons(spark):
@@ -21,3 +22,19 @@ def test_empty_and_hot_key(spark):
     r = ref.references(refs, "id", "ref", "day")
     assert ref.orphans(r, ref.snapshot_holdings(empty, "k", "day"), True).groupBy("reason").count().collect()[0]["count"] == 3000
     assert ref.orphans(r.limit(0), ref.snapshot_holdings(empty, "k", "day"), True).count() == 0
+
+
+def test_orphans_beyond_the_drivers_share_are_not_broadcast(spark, monkeypatch):
+    refs = spark.range(3000).select("id", F.lit("d1").alias("day"), (F.col("id") % 900 + 1).alias("ref"))
+    snaps = spark.createDataFrame([(i, d) for i in range(1, 700) for d in ("d1", "d2") if i % 3 or d == "d2"], "k bigint, day string")
+    r, held = ref.references(refs, "id", "ref", "day"), ref.snapshot_holdings(snaps, "k", "day")
+    plain = sorted(map(str, ref.orphans(r, held, True).collect()))
+    monkeypatch.setattr(scale, "HEAP_SHARE", 1 << 40, raising=False)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = ref.orphans(r, held, True)
+        assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+        assert plain and sorted(map(str, out.collect())) == plain
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
