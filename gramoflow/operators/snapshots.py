@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gramoflow.operators.scale import sized_join, stage
+from gramoflow.operators.scale import heap_share, sized_join, stage
 
 #: Cells of each of a bucket's three sub-tables at first.
 SUBTABLE = 1024
@@ -99,7 +99,7 @@ def _contributions(elements: DataFrame, order: DataFrame) -> DataFrame:
     """kh, pair, ch, sign: an element adds to the pair its copy ends and takes from the pair its copy begins.
 
     A pair is named by the number of its newer copy."""
-    e = sized_join(elements, order, ["grp", "copy"])
+    e = sized_join(elements, order, ["grp", "copy"], size=heap_share(elements.sparkSession))
     sides = F.array_compact(
         F.array(
             F.when(F.col("ord") > 1, F.struct(F.col("ord").alias("pair"), F.lit(1).alias("sign"))),
@@ -172,7 +172,7 @@ def differences(elements: DataFrame, order: DataFrame, subtable: int = SUBTABLE,
         if size > 4 * total + subtable:
             raise RuntimeError(f"{failed.count()} buckets do not peel at {size} cells, more than their elements need: hashes collide")
         size *= GROWTH
-        todo = sized_join(contrib, failed, ["bucket"], "left_semi")
+        todo = sized_join(contrib, failed, ["bucket"], "left_semi", size=heap_share(spark))
     found = parts[0]
     for p in parts[1:]:
         found = found.unionByName(p)
@@ -202,8 +202,10 @@ def changes(elements: DataFrame, keys: DataFrame, **sizes) -> DataFrame:
     diff = differences(elements, order, **sizes)
     # The few keys that differ are picked before keys are made distinct, so that the others are not shuffled.
     diff = stage(diff, "differences")
-    named = sized_join(keys, diff.select("kh").distinct(), ["kh"], "left_semi").distinct().join(diff, "kh")
-    return sized_join(named, order.select("grp", F.col("ord").alias("pair"), F.col("copy").alias("snapshot")), ["grp", "pair"]).drop("grp", "pair", "kh")
+    # What differs is proportional to the input, and several entities are joined at once: no broadcast takes more than its share of the driver.
+    share = heap_share(diff.sparkSession)
+    named = sized_join(keys, diff.select("kh").distinct(), ["kh"], "left_semi", size=share).distinct().join(diff.hint("merge"), "kh")
+    return sized_join(named, order.select("grp", F.col("ord").alias("pair"), F.col("copy").alias("snapshot")), ["grp", "pair"], size=share).drop("grp", "pair", "kh")
 
 
 def record_changes(rows: DataFrame, copy: str, key: str, ignore: list[str], **sizes) -> DataFrame:

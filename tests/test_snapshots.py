@@ -3,6 +3,7 @@ import random
 import numpy as np
 from pyspark.sql import functions as F
 
+from gramoflow.operators import scale
 from gramoflow.operators import snapshots as sn
 
 
@@ -82,3 +83,12 @@ def test_damaged_digest_fails_the_bucket():
     assert whole and len(out) == 2
     cells.loc[cells["cell"] == -1, "digest"] += 1
     assert not sn.peel(cells, 64)[1]
+
+
+def test_changes_beyond_the_drivers_share_are_not_broadcast(spark, monkeypatch):
+    rows = spark.range(1200).select(F.concat(F.lit("d"), F.col("id") % 3).alias("day"), F.floor(F.col("id") / 3).alias("k"), (F.col("id") % 7).alias("v"))
+    plain = sorted(map(str, sn.record_changes(rows, "day", "k", []).collect()))
+    monkeypatch.setattr(scale, "HEAP_SHARE", 1 << 40, raising=False)
+    out = sn.record_changes(rows, "day", "k", [])
+    assert "Broadcast" not in out._jdf.queryExecution().executedPlan().toString()
+    assert plain and sorted(map(str, out.collect())) == plain
